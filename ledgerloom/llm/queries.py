@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash, topk
+from . import licenses, mixing, packing, secrets, simhash, topk, toxicity
 from .common import materialize
 
 SQL: dict[str, str] = {}
@@ -45,6 +45,44 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.array_join(F.transform("sentences", lambda x: F.concat_ws(":", x.position, x.id)), ",").alias("sentences"),
+        F.array_join("licenses", ",").alias("licenses"), F.size("sentences").cast("long").alias("n_sentences"),
+    )
+
+
+SQL["op5_license_scan"] = licenses.duckdb_sql()
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence"
+    )
+
+
+#: Domains of the mixing query, and the wanted shares of tokens.
+TARGETS = {"clean_high": 0.55, "clean_low": 0.40, "toxic": 0.05}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    clean = F.when(F.col("quality") == 1, "clean_high").when(F.col("quality") == 0, "clean_low")
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, clean).alias("domain"))
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    weights, prior = mixing.fit(docs, domain_labels(labels), list(TARGETS))
+    members = materialize(mixing.posteriors(docs, weights, prior), "posteriors")
+    return mixing.rates(members, TARGETS)
+
+
+def op10_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _spans(kinds: tuple[str, ...] | None = None):
     chosen = F.filter("spans", lambda s: s.kind.isin(*kinds)) if kinds else F.col("spans")
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -67,4 +105,7 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op3_simhash_groups, op6_secret_scan, op8_pack_windows)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_top_k, op3_simhash_groups, op5_license_scan, op6_secret_scan, op7_toxicity, op8_pack_windows, op10_mixing_rates)
+}
