@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, secrets, simhash, topk, toxicity
+from . import licenses, mixing, packing, parsing, secrets, simhash, substrings, topk, toxicity
 from .common import materialize
 
 SQL: dict[str, str] = {}
@@ -45,6 +45,10 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_parse_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.against_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", F.array_join(F.transform("sentences", lambda x: F.concat_ws(":", x.position, x.id)), ",").alias("sentences"),
@@ -64,6 +68,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents")).drop("row")
+
+
 #: Domains of the mixing query, and the wanted shares of tokens.
 TARGETS = {"clean_high": 0.55, "clean_low": 0.40, "toxic": 0.05}
 
@@ -107,5 +115,5 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_top_k, op3_simhash_groups, op5_license_scan, op6_secret_scan, op7_toxicity, op8_pack_windows, op10_mixing_rates)
+    for f in (op1_top_k, op3_simhash_groups, op4_parse_fingerprints, op5_license_scan, op6_secret_scan, op7_toxicity, op8_pack_windows, op9_repeated_passages, op10_mixing_rates)
 }
