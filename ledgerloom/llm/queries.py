@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, parsing, secrets, simhash, substrings, topk, toxicity
+from . import ctw, licenses, mixing, packing, parsing, secrets, simhash, substrings, topk, toxicity
 from .common import materialize
 
 SQL: dict[str, str] = {}
@@ -40,6 +40,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return ctw.score(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        (-F.col("score") / F.log10(F.lit(2.0)) / F.nullif("n_bytes", F.lit(0))).alias("bits_per_byte"),
+    )
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"), 3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -115,5 +123,5 @@ def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_top_k, op3_simhash_groups, op4_parse_fingerprints, op5_license_scan, op6_secret_scan, op7_toxicity, op8_pack_windows, op9_repeated_passages, op10_mixing_rates)
+    for f in (op1_top_k, op2_context_tree, op3_simhash_groups, op4_parse_fingerprints, op5_license_scan, op6_secret_scan, op7_toxicity, op8_pack_windows, op9_repeated_passages, op10_mixing_rates)
 }
