@@ -12,8 +12,8 @@ EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def words_pattern(words: str) -> str:
-    """Case-insensitive pattern for one of the alternatives as a whole word."""
-    return f"(?i){EDGE}(?:{words}){EDGE}"
+    """Case-insensitive pattern for one of the alternatives, which begin and end in letters, as a whole word."""
+    return f"(?i)(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"
 
 
 def normalize_ocr(text: Column) -> Column:

@@ -19,9 +19,13 @@ CUE_WORDS = "grand|total|invoice|net|amount|due|payable|chargeable|on|account|ba
 def money_candidates(docs: DataFrame) -> DataFrame:
     """One row for each money word of ``docs(doc_id, text)``; account statements have none.
 
-    All columns but the rank come from the document's own row, so the one shuffle is that of the rank, by document.
+    Documents are dealt by id once; the ranks use the same dealing. Cues of a line are found once for all its amounts.
     """
-    lines = lines_of(docs).where("NOT statement AND line_text <> ''").withColumn("words", words_of(F.col("line")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select("doc_id", "text").repartition(parts, "doc_id")
+    # Only lines that can hold an amount are cut into words.
+    lines = lines_of(docs).where("NOT statement AND line RLIKE '[0-9][.][0-9]{2}'").withColumn("words", words_of(F.col("line")))
+    lines = lines.withColumns(line_cues(F.col("line_text")))
     places = F.filter(F.transform("words", lambda w, i: F.when(w.text.rlike("^[0-9][0-9,]*\\.[0-9]{2}$"), i)), lambda i: i.isNotNull())
     spread = lines.withColumn("_places", places).select("*", F.posexplode("_places").alias("token_index", "_end"))
     word = lambda i: F.col("words")[i]
@@ -45,7 +49,7 @@ def money_candidates(docs: DataFrame) -> DataFrame:
         named_bucket("page_vertical", F.col("line_index") / F.col("n_lines")).alias("page_y"), named_bucket("page_right", x_max / width).alias("page_right"),
         named_bucket("page_left", x_min / width).alias("page_left"), named_bucket("gap", F.greatest(F.lit(0), width - x_max) / width).alias("right_gap"),
         named_bucket("width", F.greatest(F.lit(0), x_max - x_min) / width).alias("amount_width"), named_bucket("word_count", F.size("words")).alias("row_words"),
-        *[c.alias(n) for n, c in line_cues(F.col("line_text")).items()],
+        "total_cue", "subtotal_cue", "tax_cue", "soft_total_cue", "line_item_cue", "metadata_cue",
     )
     seen = Window.partitionBy("doc_id").orderBy("line_index", "token_index")
     by_amount = Window.partitionBy("doc_id").orderBy(F.desc("amount_cents"), "line_index", "token_index")

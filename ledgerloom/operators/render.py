@@ -32,7 +32,9 @@ def order_documents(orders: DataFrame, lineitem: DataFrame, part: DataFrame, cus
 
     Lines are gathered per order, of which there are a few; layouts are proforma, tax invoice and retail in turn.
     """
-    lines = order_lines(lineitem, part)
+    # Rendering is heavy for its bytes: a set number of partitions keeps it from being merged into a few tasks.
+    parts = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = order_lines(lineitem.repartition(parts, "l_orderkey"), part)
     line = F.struct("position", "label", "qty", "unit_cents", "line_cents", "l_suppkey")
     gathered = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.sum("line_cents").alias("subtotal"))
     bp = F.when(F.col("l_orderkey") % 4 == 0, 0).when(F.col("l_orderkey") % 4 == 1, 500).when(F.col("l_orderkey") % 4 == 2, 1200).otherwise(1800)

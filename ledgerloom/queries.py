@@ -106,8 +106,8 @@ def t14_quantity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", num.quantity_to_thousandths(shown).alias("thousandths"))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE l_orderkey % 3 WHEN 2 THEN 0 ELSE 2 END AS n_gstins
-FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")
+@query(f"""WITH {LINES} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(CASE WHEN l_orderkey % 3 = 2 THEN 0 WHEN l_suppkey = o_custkey AND s_nationkey = c_nationkey THEN 1 ELSE 2 END AS INTEGER) AS n_gstins
+FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey WHERE position = 1""")
 def t15_gstins(spark, sf_dir):
     return render.read_order_documents(spark, sf_dir).select("doc_id", F.size(num.gstins(F.col("text"))).alias("n_gstins"))
 
@@ -167,8 +167,8 @@ def l01_lines_and_words(spark, sf_dir):
 @query(f"""WITH {PLAIN_LINES}, t AS (SELECT *, trim(regexp_replace(line, '{WS}+', ' ', 'g')) AS s FROM lines),
 c AS (SELECT *, regexp_matches(s, '(?i)\\b(grand\\s+total|invoice\\s+total|net\\s+amount|amount\\s+due|amount\\s+payable|amount\\s+chargeable|total)\\b')
   AND NOT regexp_matches(s, '(?i)\\b(subtotal|sub\\s+total|taxable)\\b') AND NOT regexp_matches(s, '(?i)^Tax Amount\\b') AS total_cue FROM t)
-SELECT doc_id, count(*) AS n_lines, count_if(total_cue) AS totals, count_if(regexp_matches(s, '(?i)\\b(igst|cgst|sgst|gst|tax)\\b') AND NOT total_cue) AS taxes,
-  count_if(regexp_matches(s, '(?i)\\b(qty|quantity|rate|unit|per|hsn|disc|description|goods|service)\\b') OR regexp_matches(s, '^[0-9]+\\s+') OR regexp_matches(s, '(?i)(^|\\s)(nos|pcs|kw|hrs|sets)\\b')) AS line_items
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(total_cue) AS BIGINT) AS totals, CAST(count_if(regexp_matches(s, '(?i)\\b(igst|cgst|sgst|gst|tax)\\b') AND NOT total_cue) AS BIGINT) AS taxes,
+  CAST(count_if(regexp_matches(s, '(?i)\\b(qty|quantity|rate|unit|per|hsn|disc|description|goods|service)\\b') OR regexp_matches(s, '^[0-9]+\\s+') OR regexp_matches(s, '(?i)(^|\\s)(nos|pcs|kw|hrs|sets)\\b')) AS BIGINT) AS line_items
 FROM c GROUP BY doc_id""")
 def l06_line_cues(spark, sf_dir):
     cues = txt.line_cues(F.col("line_text"))
@@ -418,9 +418,10 @@ def d12_vocabulary(spark, sf_dir):
 
 
 @query(f"""WITH {VOCAB.format('conversations')}, t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:30] AS w FROM conversations),
-e AS (SELECT conv_id, turn, unnest(w) AS token, unnest(range(len(w))) AS at FROM t), i AS (SELECT conv_id, turn, list(id ORDER BY at) AS ids FROM e JOIN vocab USING (token) GROUP BY 1, 2)
+e AS (SELECT conv_id, turn, unnest(w) AS token, unnest(range(len(w))) AS i FROM t)
+, j AS (SELECT conv_id, turn, list(id ORDER BY e.i) AS ids FROM e JOIN vocab USING (token) GROUP BY 1, 2)
 SELECT t.conv_id, t.turn, array_to_string([2] || coalesce(ids, []) || [3] || list_resize([]::BIGINT[], 30 - coalesce(len(ids), 0), 0), ',') AS ids, CAST(coalesce(len(ids), 0) + 2 AS INTEGER) AS n_used
-FROM t LEFT JOIN i USING (conv_id, turn)""")
+FROM t LEFT JOIN j USING (conv_id, turn)""")
 def d13_encoded(spark, sf_dir):
     talks = table(spark, sf_dir, "conversations")
     return datasets.encoded(talks, ["conv_id", "turn"], "text", datasets.vocabulary(talks, "text"), 32).withColumn("ids", F.array_join("ids", ","))
@@ -467,7 +468,7 @@ def m03_insert_line(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", mutate.insert_line(F.col("text"), " the ", "added", True).alias("text"))
 
 
-@query("SELECT event_type, count(*) AS n, count_if(value > 50) AS hits, count_if(value > 50) / count(value) AS rate FROM events GROUP BY GROUPING SETS ((event_type), ())")
+@query("SELECT event_type, count(*) AS n, CAST(count_if(value > 50) AS BIGINT) AS hits, count_if(value > 50) / count(value) AS rate FROM events GROUP BY GROUPING SETS ((event_type), ())")
 def e03_rates_by_class(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", (F.col("value") > 50).alias("hit"))
     return evaluate.rates_by_class(rows, "event_type", "hit")
