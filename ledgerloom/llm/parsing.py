@@ -93,6 +93,7 @@ def parse(x: np.ndarray, first: np.ndarray, named: np.ndarray | None = None) ->
     begin[first] = True
     second = first + 1
     begin[second[second < len(lab)]] = False  # no phrase of one symbol at a text's head
+    begin[first[1:] - 1] = False  # a text's last symbol has no right neighbour
     begin[first] = True
     starts = np.flatnonzero(begin)
     sizes = np.diff(np.append(starts, len(lab)))
