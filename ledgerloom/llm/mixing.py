@@ -8,8 +8,8 @@ then gets a nonnegative rate r, fitted by projected gradient to
     sum_d ((sum_i n_i p_id r_i - target_d) / T)^2 / 2 + ridge / 2 * sum_i n_i / T (r_i - 1)^2
 
 with n_i its tokens, T their sum and target_d the wanted tokens of domain d. One step
-needs the gaps of the few domains alone, an aggregate; a rate is then a nested
-expression of the document's own posteriors, so steps store and shuffle no rows.
+needs the gaps of the few domains alone, an aggregate; a rate follows from all past
+gaps and the document's own posteriors, so steps store and shuffle no rows.
 
 Null and empty texts have no tokens, the prior as posterior, and a rate that no target
 depends on. Labelled rows whose id or label is null are not used; an id with several
@@ -78,26 +78,29 @@ def rates(members: DataFrame, targets: dict[str, float], ridge: float = 0.05, mo
     p = [F.col(f"p_{d}").cast("double") for d in domains]
     want = [targets[d] / sum(targets.values()) for d in domains]
     pairs = members.agg(F.coalesce(F.sum(n), F.lit(0.0)), *[F.coalesce(F.sum(n * x * y), F.lit(0.0)) for x in p for y in p]).first()
-    total, rate = float(pairs[0]), F.lit(1.0)
+    total, gaps_so_far, step = float(pairs[0]), [], 0.0
     if total:
         # The widest row sum bounds the curvature of the fit.
         k = len(domains)
         step = 1 / (max(sum(abs(pairs[1 + i * k + j]) for j in range(k)) for i in range(k)) / total + ridge)
-        before = None
         for _ in range(most_steps):
-            met = members.agg(*[F.sum(n * x * rate) for x in p]).first()
-            gaps = [m / total - w for m, w in zip(met, want)]
-            rate = _next(rate, p, gaps, step, ridge)
-            if before and max(abs(a - b) for a, b in zip(gaps, before)) < close:
+            met = members.agg(*[F.sum(n * x * _rate(p, gaps_so_far, step, ridge)) for x in p]).first()
+            gaps_so_far.append([m / total - w for m, w in zip(met, want)])
+            if len(gaps_so_far) > 1 and max(abs(a - b) for a, b in zip(*gaps_so_far[-2:])) < close:
                 break
-            before = gaps
-    return members.withColumn("rate", F.round(rate, 6))
+    return members.withColumn("rate", F.round(_rate(p, gaps_so_far, step, ridge), 6))
 
 
-def _next(rate: Column, p: list[Column], gaps: list[float], step: float, ridge: float) -> Column:
-    """One projected step: ``rate`` stands in it once, so steps nest without growing wider."""
-    slope = sum((x * F.lit(g) for x, g in zip(p[1:], gaps[1:])), p[0] * F.lit(gaps[0]))
-    return F.greatest(F.lit(0.0), rate * F.lit(1 - step * ridge) + F.lit(step * ridge) - slope * F.lit(step))
+def _rate(p: list[Column], gaps: list[list[float]], step: float, ridge: float) -> Column:
+    """Rate after a projected step for each of the past gaps, which are one constant: all steps share compiled code."""
+    if not gaps:
+        return F.lit(1.0)
+
+    def moved(rate: Column, gap: Column) -> Column:
+        slope = sum((x * gap[i] for i, x in enumerate(p[1:], 1)), p[0] * gap[0])
+        return F.greatest(F.lit(0.0), rate * (1 - step * ridge) + step * ridge - slope * step)
+
+    return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in gaps]), F.lit(1.0), moved)
 
 
 def repeated(docs: DataFrame, rated: DataFrame, seed: int = 7) -> DataFrame:
