@@ -144,3 +144,41 @@ def industry(text: Column) -> Column:
 def split_columns(line: Column) -> Column:
     """Parts of a line between two or more spaces."""
     return F.filter(F.transform(F.split(line, f"{SPACE}{{2,}}"), collapse), lambda x: x != "")
+
+
+# Letters that OCR puts for digits.
+LOOK_ALIKE = ("OoQDIil|SsB", "00001111558")
+
+
+def numeric_like(text: Column) -> Column:
+    """T4: look-alike letters become digits next to a digit, dot or comma; the left neighbour counts as replaced."""
+    plain = collapse(text)
+
+    def step(out: Column, i: Column) -> Column:
+        c = F.substring(plain, i, F.lit(1))
+        digit = F.translate(c, *LOOK_ALIKE)
+        near = F.substring(out, -1, 1).rlike("[0-9.,]") | F.substring(plain, i + 1, F.lit(1)).rlike("[0-9.,]")
+        return F.concat(out, F.when((digit != c) & near, digit).otherwise(c))
+
+    places = F.when(F.length(plain) > 0, F.sequence(F.lit(1), F.length(plain))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(""), step)
+
+
+def party_name(text: Column) -> Column:
+    """Collapsed name with repaired company suffixes."""
+    out = collapse(text)
+    # Worn suffixes and what they stand for.
+    for worn, right in (("L\\s+LP", "LLP"), ("PVT\\.?\\s+LID", "Pvt Ltd"), ("PRIVATE\\s+LID", "Private Ltd"), ("LID", "Ltd"), ("LTD", "Ltd"), ("LIMITED", "Limited")):
+        out = F.regexp_replace(out, words_pattern(worn), right)
+    return out
+
+
+# Words of document titles, and words between them.
+TITLE_WORDS = "ACK BILL CASH COPY CREDIT DEBIT DUPLICATE INVOICE NOTE ORIGINAL PROFORMA PURCHASE RECEIPT RETAIL SALES TAX TRIPLICATE VOUCHER".split()
+TITLE_LINKS = "A AN FOR OF THE".split()
+
+
+def document_title(text: Column) -> Column:
+    """Whether one to four words are all words of titles."""
+    words = F.filter(F.split(F.regexp_replace(F.upper(alpha_heavy(collapse(text))), "[^A-Z ]+", " "), "\\s+"), lambda w: (w != "") & ~w.isin(TITLE_LINKS))
+    return (F.size(words) >= 1) & (F.size(words) <= 4) & F.forall(words, lambda w: w.isin(TITLE_WORDS))

@@ -127,3 +127,25 @@ def solved(answer: Column) -> Column:
     digits = F.forall(answer, lambda x: (x >= 1) & (x <= 9)) & (F.size(answer) == 81)
     box = lambda u, j: (F.floor(u / 3) * 3 + F.floor(j / 3)) * 9 + (u % 3) * 3 + j % 3
     return digits & units(lambda u, j: u * 9 + j) & units(lambda u, j: j * 9 + u) & units(box)
+
+
+def legal_values(grid: DataFrame) -> DataFrame:
+    """For each open cell of ``grid(o_orderkey, question)`` the digits that no cell of its row, column or box has."""
+    question = F.col("question")
+
+    def peers(i: Column) -> Column:
+        same = lambda j: (F.floor(j / 9) == F.floor(i / 9)) | (j % 9 == i % 9) | ((F.floor(j / 27) == F.floor(i / 27)) & (F.floor((j % 9) / 3) == F.floor((i % 9) / 3)))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.lit(80)), same), lambda j: F.get(question, j))
+
+    cells = F.transform(question, lambda v, i: F.when(v == 0, F.struct(i.alias("cell"), F.array_except(F.array(*map(F.lit, range(1, 10))), peers(i)).alias("legal"))))
+    return grid.select("o_orderkey", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("o_orderkey", "c.cell", "c.legal")
+
+
+def with_positive(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """Rows of groups in which some label is 1."""
+    return rows.withColumn("_most", F.max(label).over(Window.partitionBy(group))).where("_most = 1").drop("_most")
+
+
+def choice(seed: int, key: Column, draw: int, n: int) -> Column:
+    """Draw number ``draw`` of a key among ``n``, the same in any partitioning."""
+    return F.pmod(F.xxhash64(F.lit(seed), key, F.lit(draw)), F.lit(n)).cast("int")

@@ -37,11 +37,14 @@ def softmax_top_k(rows: DataFrame, group: str, label: str, logit: str, k: int) -
     return top_k(shares, group, [F.desc("probability"), F.col(label)], k)
 
 
-def guidance(rows: DataFrame, group: str, value: str, score: str, least_lift: float = 0.08, least_margin: float = 0.04) -> DataFrame:
-    """A group's decision from its shares: greedy, the best two, or all when neither stands out.
+# Lift over an even share and margin over the second that a greedy choice and the best two need.
+GREEDY, BEAM = (0.18, 0.10), (0.06, 0.04)
 
-    Shares are scores over their sum, even where that is not above zero. Greedy needs a first share ``least_lift``
-    above an even one and ``least_margin`` above the second; a lift alone gives the best two.
+
+def guidance(rows: DataFrame, group: str, value: str, score: str, width: int = 2) -> DataFrame:
+    """A group's decision from its shares: greedy, the best ``width``, or fallback when neither stands out.
+
+    Shares are scores over their sum, even where that is not above zero; a beam needs more values than its width.
     """
     w = Window.partitionBy(group)
     raw = F.greatest(F.col(score), F.lit(0.0))
@@ -50,7 +53,8 @@ def guidance(rows: DataFrame, group: str, value: str, score: str, least_lift: fl
     order = w.orderBy(F.desc("share"), value)
     led = shares.withColumn("_rank", F.row_number().over(order)).withColumn("_second", F.lead("share").over(order)).where("_rank = 1")
     lift, margin = F.col("share") - 1 / F.col("_n"), F.col("share") - F.coalesce("_second", F.lit(0.0))
-    decision = F.when((lift >= least_lift) & (margin >= least_margin), "greedy").when(lift >= least_lift, "beam").otherwise("fallback")
+    above = lambda limits: (lift >= limits[0]) & (margin >= limits[1])
+    decision = F.when(above(GREEDY), "greedy").when(above(BEAM) & (F.col("_n") > width), "beam").otherwise("fallback")
     return led.select(group, F.col(value).alias("value"), "share", decision.alias("decision"))
 
 
@@ -62,3 +66,9 @@ def top_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 def best(rows: DataFrame, group: str, value: str, score: str) -> DataFrame:
     """The value with the highest score of each group, the greater value on ties."""
     return rows.groupBy(group).agg(F.max(F.struct(score, value))[value].alias(value))
+
+
+def agreement(rows: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
+    """Whether the highest of two scores fall on the same value of each group, smaller values first on ties."""
+    top = lambda score: F.max_by(value, F.struct(F.col(score), -F.col(value)))
+    return rows.groupBy(group).agg((top(first) == top(second)).alias("agree"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .items import strict_items, summary_amounts
+
 
 def computation_trace(lines: DataFrame) -> DataFrame:
     """V2: three steps for each order line and three closing steps, with index and running subtotal.
@@ -83,3 +85,17 @@ def compared(actual: DataFrame, expected: DataFrame, keys: list[str], value: str
     e = expected.select(*keys, F.col(value).alias("expected"), F.lit(True).alias("_e"))
     told = F.when(F.col("_e").isNull(), "extra").when(F.col("_a").isNull(), "missing").when(F.col("actual").eqNullSafe(F.col("expected")), "match").otherwise("wrong")
     return a.join(e, keys, "full").withColumn("outcome", told).drop("_a", "_e")
+
+
+def receipt_checks(docs: DataFrame, tolerance: int = 100) -> DataFrame:
+    """V5: for documents with strict items, whether lines, the taxable amount and the total agree, in cents."""
+    lines = strict_items(docs).withColumn("_ok", F.abs(F.floor(F.col("quantity_thousandths") * F.col("unit_price_cents") / 1000.0 + 0.5) - F.col("line_amount_cents")) <= tolerance)
+    sums = lines.groupBy("doc_id").agg(F.bool_and("_ok").alias("lines_agree"), F.sum("line_amount_cents").alias("_sum"))
+    told = sums.join(summary_amounts(docs), "doc_id").withColumn("taxable_agrees", F.abs(F.col("taxable_cents") - F.col("_sum")) <= tolerance)
+    told = told.withColumn("total_agrees", F.abs(F.col("_sum") + F.coalesce("tax_cents", F.lit(0)) - F.col("total_cents")) <= tolerance)
+    return told.select("doc_id", "lines_agree", "taxable_agrees", "total_agrees", (F.col("lines_agree") & F.col("taxable_agrees") & F.col("total_agrees")).alias("verified"))
+
+
+def hints(failed: Column) -> Column:
+    """The failed rules as a line to go with a text for another attempt."""
+    return F.when(F.size(failed) > 0, F.concat(F.lit("Hints: "), F.array_join(F.transform(failed, lambda x: x.rule), "; "))).otherwise("")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
-from ledgerloom.operators import candidates, datasets, evaluate, items, layout, mutate, ranking, render, verify
+from ledgerloom.functions import dates
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, layout, mutate, ranking, render, states, verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -274,7 +275,7 @@ def r09_distinct_values(spark, sf_dir):
 
 @query("""WITH s AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT *, v / sum(v) OVER (PARTITION BY user_id) AS share, count(*) OVER (PARTITION BY user_id) AS n FROM s),
 r AS (SELECT *, row_number() OVER w AS k, lead(share) OVER w AS second FROM g WINDOW w AS (PARTITION BY user_id ORDER BY share DESC, event_type))
-SELECT user_id, event_type AS value, round(share, 6) AS share, CASE WHEN share - 1.0 / n >= 0.08 AND share - coalesce(second, 0) >= 0.04 THEN 'greedy' WHEN share - 1.0 / n >= 0.08 THEN 'beam' ELSE 'fallback' END AS decision FROM r WHERE k = 1""")
+SELECT user_id, event_type AS value, round(share, 6) AS share, CASE WHEN share - 1.0 / n >= 0.18 AND share - coalesce(second, 0) >= 0.1 THEN 'greedy' WHEN share - 1.0 / n >= 0.06 AND share - coalesce(second, 0) >= 0.04 AND n > 2 THEN 'beam' ELSE 'fallback' END AS decision FROM r WHERE k = 1""")
 def r10_guidance(spark, sf_dir):
     sums = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
     return ranking.guidance(sums, "user_id", "event_type", "v").withColumn("share", F.round("share", 6))
@@ -493,3 +494,133 @@ def e06_timing_summary(spark, sf_dir):
 def e07_compared_policies(spark, sf_dir):
     found = evaluate.compared_policies(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "click", "view")
     return found.select("user_id", *[F.round(c, 4).alias(c) for c in ("first", "second", "delta")])
+
+
+# Further text, families, states.
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS slashed, strftime(o_orderdate, '%d') || '-' || strftime(o_orderdate, '%b') || '-' || strftime(o_orderdate, '%Y') AS dashed FROM orders""")
+def t07_dates(spark, sf_dir):
+    """Dates with look-alike letters for digits, and months with one letter wrong."""
+    worn = F.translate(F.date_format("o_orderdate", "dd/MM/yyyy"), "0", "O")
+    month = F.date_format("o_orderdate", "MMM")
+    dashed = F.concat(F.date_format("o_orderdate", "dd"), F.lit(" - "), F.upper(month), F.lit("x-"), F.date_format("o_orderdate", "yyyy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.canonical_date(F.concat(F.lit(" "), worn)).alias("slashed"), dates.canonical_date(dashed).alias("dashed"))
+
+
+@query("""SELECT c_custkey, 'Trader ' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN ' LLP' WHEN 1 THEN ' Pvt Ltd' ELSE ' Limited' END AS name FROM customer""")
+def t09_party_names(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    name = F.concat(F.lit("Trader  "), F.col("c_custkey"), F.when(k == 0, " L LP").when(k == 1, " PVT. LID").otherwise(" LIMITED"))
+    return table(spark, sf_dir, "customer").select("c_custkey", txt.party_name(name).alias("name"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 < 2 AS title FROM orders")
+def t11_document_titles(spark, sf_dir):
+    shown = F.get(F.array(*[F.lit(x) for x in ("TAX INVOICE", "Copy of the 5ales Invoice", "Invoice for 12 chairs", "of the")]), (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", txt.document_title(shown).alias("title"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'proforma_invoice' ELSE 'sales_invoice' END AS family,
+  CAST(CASE o_orderkey % 3 WHEN 0 THEN 36 WHEN 1 THEN 28 ELSE CASE WHEN tax > 0 THEN 16 ELSE 12 END END AS INTEGER) AS score
+FROM (WITH """ + TOTALS + """ SELECT l_orderkey AS o_orderkey, tax FROM totals JOIN orders ON o_orderkey = l_orderkey)""")
+def r05_voucher_family(spark, sf_dir):
+    """C9, R5."""
+    return families.classified(render.read_order_documents(spark, sf_dir)).select("doc_id", "family", "score")
+
+
+@query("SELECT c_custkey, lpad(CAST(c AS VARCHAR), 2, '0') AS code FROM (SELECT c_custkey, [" + ", ".join(str(int(c)) for c, _ in states.STATES) + "][1 + c_nationkey] AS c FROM customer)")
+def t06_state_names(spark, sf_dir):
+    """Names in capitals, every third with a letter missing, in a longer text."""
+    known = F.array(*[F.lit(n) for _, n in states.STATES])
+    name = F.get(known, F.col("c_nationkey"))
+    worn = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.substring(name, 1, 2), F.substring(name, F.lit(4), F.length(name)))).otherwise(F.upper(name))
+    places = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("12, "), worn).alias("place"))
+    return states.canonical_states(places, "place").select("c_custkey", "code")
+
+
+# Further training sets, checks and reports.
+
+
+@query(f"""WITH {TOTALS}, f AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, unnest(['subtotal', 'tax', 'total']) AS field, unnest([subtotal, tax, total]) AS cents FROM totals JOIN orders ON o_orderkey = l_orderkey)
+SELECT * FROM f WHERE field <> 'tax' OR cents > 0""")
+def d02_expected_fields(spark, sf_dir):
+    docs = render.read_order_documents(spark, sf_dir).withColumn("tax", F.when(F.col("tax") > 0, F.col("tax")))
+    return docs.unpivot("doc_id", ["subtotal", "tax", "total"], "field", "cents").where("cents IS NOT NULL")
+
+
+@query(f"""WITH {TOTALS} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(1 AS BIGINT) AS positives FROM totals JOIN orders ON o_orderkey = l_orderkey""")
+def d03_labelled_amounts(spark, sf_dir):
+    """D3: candidates on a total line with the right amount are positive; each document has one."""
+    docs = render.read_order_documents(spark, sf_dir)
+    labelled = candidates.money_candidates(docs).join(docs.select("doc_id", "total"), "doc_id").withColumn("label", (F.col("total_cue") & (F.col("amount_cents") == F.col("total"))).cast("long"))
+    return labelled.groupBy("doc_id").agg(F.sum("label").alias("positives"))
+
+
+@query("""SELECT user_id, event_id, CAST(event_type = 'error' AS INTEGER) AS label FROM events WHERE event_type IN ('error', 'view') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)""")
+def d04_groups_with_positive(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    wanted = rows.withColumn("label", (F.col("event_type") == "error").cast("int")).withColumn("_strong", ((F.col("label") == 1) & (F.col("value") > 90)).cast("int"))
+    return datasets.with_positive(wanted, "user_id", "_strong").where(F.col("event_type").isin("error", "view")).select("user_id", "event_id", "label")
+
+
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:' || o_orderkey)) AS r, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN r <= greatest(1, floor(n * 0.2)) THEN 'eval' ELSE 'train' END AS split FROM r""")
+def d11_row_split(spark, sf_dir):
+    return datasets.group_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.2)
+
+
+@query("""WITH c AS (SELECT o_orderkey, i, i // 9 AS r, i % 9 AS c, CASE WHEN (i + o_orderkey) % 3 = 0 THEN 0 WHEN i = 0 AND o_orderkey % 10 = 0 THEN (o_orderkey % 9 + 1) % 9 + 1
+  ELSE (3 * ((i // 9) % 3) + (i // 9) // 3 + i % 9 + o_orderkey % 9) % 9 + 1 END AS v FROM orders, range(81) t(i)),
+p AS (SELECT a.o_orderkey, a.i, count(DISTINCT b.v) AS used FROM c a JOIN c b ON a.o_orderkey = b.o_orderkey AND a.v = 0 AND b.v > 0 AND (a.r = b.r OR a.c = b.c OR (a.r // 3 = b.r // 3 AND a.c // 3 = b.c // 3)) GROUP BY 1, 2)
+SELECT o_orderkey, count(*) AS n_open, CAST(sum(9 - used) AS BIGINT) AS n_legal FROM p GROUP BY 1""")
+def d18_legal_values(spark, sf_dir):
+    legal = datasets.legal_values(datasets.grids(table(spark, sf_dir, "orders")))
+    return legal.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_open"), F.sum(F.size("legal")).alias("n_legal"))
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM documents),
+d AS (SELECT doc_id, i, c, CAST('0x' || substr(md5('5:' || doc_id || ':' || (i - 1)), 1, 6) AS BIGINT) % 100 AS draw FROM c WHERE c IN ('O', 'I', 'S', 'A'))
+SELECT doc_id, CAST(sum(CAST(draw < CASE c WHEN 'O' THEN 55 WHEN 'I' THEN 45 WHEN 'S' THEN 30 ELSE 15 END AS INTEGER)) AS BIGINT) AS changed FROM d GROUP BY 1""")
+def m01_ocr_noise(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", mutate.ocr_noise(F.col("text"), F.col("doc_id"), 5).alias("noisy"))
+    changed = F.size(F.filter(F.zip_with(F.split("text", ""), F.split("noisy", ""), lambda a, b: a != b), lambda x: x))
+    return docs.where("text RLIKE '[OISA]'").select("doc_id", changed.cast("long").alias("changed"))
+
+
+@query(f"""WITH {TOTALS} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, true AS lines_agree, l_orderkey % 7 <> 0 AS taxable_agrees, true AS total_agrees, l_orderkey % 7 <> 0 AS verified
+FROM totals JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 3 = 0""")
+def v05_receipt_checks(spark, sf_dir):
+    """V5: checks of the documents with strict items; every seventh has a wrong taxable amount."""
+    docs = render.read_order_documents(spark, sf_dir)
+    worn = F.when(F.col("doc_id").cast("long") % 7 == 0, F.regexp_replace("text", "TAXABLE  ", "TAXABLE  9")).otherwise(F.col("text"))
+    return verify.receipt_checks(docs.select("doc_id", worn.alias("text")))
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN n_chars < 500 THEN ['too short'] ELSE [] END || CASE WHEN lang <> 'en' THEN ['not English'] ELSE [] END AS h FROM documents)
+SELECT doc_id, CASE WHEN len(h) > 0 THEN 'Hints: ' || array_to_string(h, '; ') ELSE '' END AS hints FROM f""")
+def v12_hints(spark, sf_dir):
+    rules = [("too short", "error", "n_chars >= 500"), ("not English", "warning", "lang = 'en'")]
+    docs = table(spark, sf_dir, "documents")
+    return docs.withColumn("_failed", verify.failures(docs, rules)).select("doc_id", verify.hints(F.col("_failed")).alias("hints"))
+
+
+@query(f"""WITH {TOTALS} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, true AS found, true AS matches FROM totals JOIN orders ON o_orderkey = l_orderkey""")
+def e01_scalar_report(spark, sf_dir):
+    docs = render.read_order_documents(spark, sf_dir)
+    ranked = candidates.ranked(candidates.money_candidates(docs))
+    told = ranked.join(docs.select("doc_id", "total"), "doc_id").withColumn("hit", F.col("amount_cents") == F.col("total"))
+    return told.groupBy("doc_id").agg(F.bool_or("hit").alias("found"), F.bool_or(F.col("hit") & (F.col("rank") == 1)).alias("matches"))
+
+
+@query("SELECT event_type, round(avg(value / 100), 6) AS mean, min(value / 100) AS least, CAST(count_if(value / 100 < 0.6) AS BIGINT) AS low FROM events GROUP BY 1")
+def e09_model_statistics(spark, sf_dir):
+    p = F.col("value") / 100
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(p), 6).alias("mean"), F.min(p).alias("least"), F.count_if(p < 0.6).alias("low"))
+
+
+@query("SELECT o_custkey, max_by(o_orderkey, (o_totalprice, -o_orderkey)) = max_by(o_orderkey, (o_totalprice % 1000, -o_orderkey)) AS agree FROM orders GROUP BY 1")
+def r07_agreement(spark, sf_dir):
+    """Whether two scores choose the same row of a group."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", (F.col("o_totalprice") % 1000).alias("model"))
+    return ranking.agreement(rows, "o_custkey", "o_orderkey", "o_totalprice", "model")

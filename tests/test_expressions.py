@@ -46,7 +46,7 @@ def test_number_words(spark, given, want):
     assert value(spark, num.number_words(F.col("s")), s=given) == want
 
 
-@pytest.mark.parametrize("given, want", [("Grand Total ₹ 10.00", "currency money grand total"), ("  ", "none"), ("hello there", "text_only"), ("GST 2.500 Dr", "qty_decimal dr gst")])
+@pytest.mark.parametrize("given, want", [("Grand Total ₹ 10.00", "currency money grand total"), ("  ", "none"), ("hello there", "text_only"), ("GST 2.500 Dr", "money qty_decimal dr gst")])
 def test_context(spark, given, want):
     assert value(spark, txt.context_summary(F.col("s")), s=given) == want
 
