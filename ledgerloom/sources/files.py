@@ -25,7 +25,7 @@ def tsv_words(docs: DataFrame) -> DataFrame:
     rows = F.filter(F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.split(x, "\t")), lambda c: F.size(c) >= 12)
     number = lambda c, i: c[i].try_cast("double")
     told = docs.where(F.ltrim("text").startswith(TSV_HEADER)).select("doc_id", rows.alias("_rows"))
-    pages = F.transform(F.filter("_rows", lambda c: c[0] == "1"), lambda c: F.struct(c[1].alias("page"), number(c, 8).alias("width"), number(c, 9).alias("height")))
+    pages = F.transform(F.filter("_rows", lambda c: c[0] == "1"), lambda c: F.named_struct(F.lit("page"), c[1], F.lit("width"), number(c, 8), F.lit("height"), number(c, 9)))
     words = told.select("doc_id", pages.alias("_pages"), F.posexplode(F.filter("_rows", lambda c: (c[0] == "5") & (F.trim(c[11]) != ""))).alias("word_index", "_c"))
     page = F.try_element_at(F.filter("_pages", lambda p: p.page == F.col("_c")[1]), F.lit(1))
     left, top = F.col("_c")[6].try_cast("double"), F.col("_c")[7].try_cast("double")
