@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,14 @@ STEP_BYTES = 4 << 20
 _local_dir: str | None = None
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, as a cluster's machines do."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Only a local session, as in tests, gets one of its own."""
     global _local_dir
@@ -68,6 +78,7 @@ def map_steps(
     text: str = "text",
 ) -> DataFrame:
     """``mapInArrow`` in steps of bounded size; ``function`` yields columns by name for each step."""
+    importable(df.sparkSession)
     fields = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, steps
+from .common import discard, importable, materialize, steps
 
 #: Bytes of context, and how many decisions make a child worth half of its parent's trust.
 DEPTH, DOUBT = 4, 3.0
@@ -200,6 +200,7 @@ def score(docs: DataFrame, trains: Column, depth: int = DEPTH, doubt: float = DO
 
     ``trains`` says which rows of ``docs(doc_id, text)`` the model learns from; all are scored.
     """
+    importable(docs.sparkSession)
     given = _input(docs, trains)
     seen = materialize(gather(given, depth), "seen")
     grams = materialize(seen.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), "grams")

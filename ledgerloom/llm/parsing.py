@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES
+from .common import STEP_BYTES, importable
 
 #: Levels whose names are kept; a phrase of level 2 spans about ten bytes.
 LEVELS, CLASSES, NONE = (2, 3), 64, 0xFFFF
@@ -172,6 +172,7 @@ def against_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     Texts are dealt by ranges of ids and sorted within them, one shuffle; a range's last row finds its next text in
     the first row of the following range, which is sent to both.
     """
+    importable(docs.sparkSession)
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lowest = -(1 << 63)

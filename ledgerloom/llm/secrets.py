@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_steps
+from .common import importable, map_steps
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -122,6 +122,7 @@ def redact(docs: DataFrame, window: int = 20) -> DataFrame:
     Columns and rows stay as they are otherwise; a null text stays null.
     """
 
+    importable(docs.sparkSession)
     @F.pandas_udf("string")
     def cleaned(texts):
         scanner = Scanner(window)

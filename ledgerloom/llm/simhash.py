@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_steps, materialize
+from .common import importable, map_steps, materialize
 from .components import connected_components
 
 #: Shingles that are hashed at a time, so that a very long text needs no more memory.
@@ -145,6 +145,7 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int =
     All columns are kept; the input's scan must number its rows alike each time, as stored tables do.
     """
 
+    importable(docs.sparkSession)
     @F.pandas_udf("p0 long, p1 long")
     def prints(texts):
         import pandas as pd

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_steps, materialize
+from .common import importable, map_steps, materialize
 
 LEAST, MOST, BITS, WORDS = 16, 256, 5, 20
 
@@ -131,6 +131,7 @@ def without_repeats(docs: DataFrame, words: int = WORDS, **cut: int) -> DataFram
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = repeats(docs, words, **cut).where("NOT is_first").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
 
+    importable(docs.sparkSession)
     @F.pandas_udf("string")
     def cleaned(texts, gone):
         def one(text, spans):

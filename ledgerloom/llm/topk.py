@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import importable
+
 #: Rows of a block of vectors, and of a block of queries.
 BLOCK, QUERIES = 2048, 1024
 
@@ -112,6 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
 
     Scores are inner products of the integer components, which must stay below 2**63.
     """
+    importable(vectors.sparkSession)
     v, q = _blocks(vectors, block, "v"), _blocks(queries, query_block, "q")
     count = max(1, -(-vectors.count() // block))
     q = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))

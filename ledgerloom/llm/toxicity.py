@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_steps
+from .common import importable, map_steps
 
 #: Bytes that stay in terms: ASCII letters and all of other scripts.
 LETTERS = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -177,6 +177,7 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``limit``, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    importable(docs.sparkSession)
     @F.pandas_udf("double")
     def scores(texts):
         return texts.map(lambda t: shared.value.score(t)[0])
