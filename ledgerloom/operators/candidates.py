@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import money_to_cents, named_bucket
-from ledgerloom.functions.text import SOFT_TOTAL, SUBTOTAL, TAX, collapse, line_cues, total_cue, words_pattern
+from ledgerloom.functions.text import SOFT_TOTAL, SUBTOTAL, TAX, collapse, context_summary, line_cues, total_cue, words_pattern
 
 from .layout import lines_of, words_of
 
@@ -80,3 +80,48 @@ def ranked(candidates: DataFrame, scorer: Callable[[], Column] = total_score) ->
 def receipt_totals(docs: DataFrame) -> DataFrame:
     """R2: the chosen total of each document that has a candidate."""
     return ranked(money_candidates(docs)).where("rank = 1").select("doc_id", "document_type", F.col("amount_cents").alias("total_cents"), "line_index", "score")
+
+
+def contexts(candidates: DataFrame) -> DataFrame:
+    """Candidates with ``context``: buckets, flags, the first six amounts, and summaries of the lines around."""
+    flag = lambda column, name: F.concat(F.lit("cue_"), F.when(F.col(column), name).otherwise(f"not_{name}"))
+    named = lambda name, column: F.concat(F.lit(f"{name}_"), F.col(column).cast("string"))
+    amounts = candidates.where("candidate_index < 6").groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("candidate_index", F.concat_ws("_", "magnitude", "amount_rank").alias("a")))), lambda x: x.a), " ").alias("_amounts")
+    )
+    parts = [
+        F.concat(F.lit("doc_"), F.lower(F.regexp_replace("document_type", "\\s+", "_"))), named("candidate_rank", "amount_rank"), named("candidate_magnitude", "magnitude"),
+        named("candidate_line", "line_index"), named("candidate_token", "token_index"), named("candidate_from_bottom", "from_bottom"), named("candidate_position", "position"),
+        named("page_right", "page_right"), named("page_left", "page_left"), named("page_y", "page_y"), named("page_gap", "right_gap"), named("amount_width", "amount_width"),
+        named("row_words", "row_words"), named("cue_gap", "cue_gap"), flag("total_cue", "total"), flag("soft_total_cue", "soft_total"), flag("subtotal_cue", "subtotal"), flag("tax_cue", "tax"),
+        flag("line_item_cue", "line_item"), flag("metadata_cue", "metadata"), flag("total_before", "before_total"), flag("soft_before", "before_soft_total"),
+        flag("subtotal_before", "before_subtotal"), flag("tax_before", "before_tax"), F.when(F.col("amount_count") > 1, "line_multi_amount").otherwise("line_single_amount"),
+        F.when(F.col("rightmost"), "word_rightmost").otherwise("word_not_rightmost"), F.when(F.col("has_currency"), "currency_marked").otherwise("currency_unmarked"),
+        F.lit("top_amounts"), F.col("_amounts"), F.lit("prev"), context_summary(F.col("prev_line")), F.lit("left"), context_summary(F.col("left_text")),
+        F.lit("line"), context_summary(F.col("line_text")), F.lit("next"), context_summary(F.col("next_line")),
+    ]
+    return candidates.join(amounts, "doc_id").withColumn("context", F.concat_ws(" ", *parts)).drop("_amounts")
+
+
+def loose_amounts(docs: DataFrame) -> DataFrame:
+    """Every amount-like word, integers too, without slash or percent, and whether its line reads as an item."""
+    lines = lines_of(docs.select("doc_id", "text")).where("line_text <> ''").withColumn("words", words_of(F.col("line")))
+    loose = "^(?:₹|Rs\\.?)?[0-9][0-9,]*(?:\\.[0-9]{1,2})?$"
+    numeric = F.size(F.filter("words", lambda w: w.text.rlike(loose)))
+    letters = F.exists("words", lambda w: w.text.rlike("[A-Za-z]{2}"))
+    item = ((numeric >= 3) & letters) | F.col("line_text").rlike(words_pattern("qty|quantity|rate|hsn|description|particulars"))
+    each = lines.select("doc_id", "line_index", "line_text", "page_width", "words", item.alias("line_item_cue"), F.posexplode("words").alias("_i", "_w")).where(F.col("_w.text").rlike(loose))
+    left = collapse(F.array_join(F.transform(F.slice("words", F.lit(1), F.col("_i")), lambda w: w.text), " "))
+    return each.select(
+        "doc_id", "line_index", F.col("_i").alias("word_index"), "line_text", "line_item_cue", F.col("_w.text").alias("amount_text"), money_to_cents(F.col("_w.text")).alias("amount_cents"),
+        left.alias("left_text"), (F.col("_i") == F.size("words") - 1).alias("rightmost"), named_bucket("page_right", F.col("_w.x_max") / F.col("page_width")).alias("page_right"),
+    )
+
+
+def merged_amounts(first: DataFrame, second: DataFrame) -> DataFrame:
+    """C4: one row for each line, amount and text of two lists; the second list's row wins only with more filled cues."""
+    columns = ["doc_id", "line_index", "amount_cents", "amount_text", "left_text", "page_right"]
+    both = first.select(*columns, F.lit(0).alias("_list")).unionByName(second.select(*columns, F.lit(1).alias("_list")))
+    signals = F.coalesce((F.col("left_text") != "").cast("int"), F.lit(0)) + F.col("page_right").isNotNull().cast("int")
+    order = Window.partitionBy("doc_id", "line_index", "amount_cents", "amount_text").orderBy(F.desc(signals), "_list", "left_text")
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_list")

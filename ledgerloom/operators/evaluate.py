@@ -32,3 +32,10 @@ def compared_policies(rows: DataFrame, case: str, policy: str, metric: str, firs
     wide = rows.groupBy(case).pivot(policy, [first, second]).agg(F.sum(metric))
     a, b = F.coalesce(first, F.lit(0.0)), F.coalesce(second, F.lit(0.0))
     return wide.select(case, a.alias("first"), b.alias("second"), (a - b).alias("delta"))
+
+
+def highlights(outcomes: DataFrame, case: str, field: str) -> DataFrame:
+    """Cases with a missing or wrong field, and those fields, from rows with ``outcome``."""
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("outcome") == kind, F.col(field))))
+    told = outcomes.groupBy(case).agg(listed("missing").alias("missing"), listed("wrong").alias("wrong"))
+    return told.where((F.size("missing") > 0) | (F.size("wrong") > 0))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a letter is mistaken for, and how often in hundredths.
@@ -41,3 +43,23 @@ def insert_line(text: Column, pattern: str, new: str, after: bool) -> Column:
     head = at if after else at - 1
     changed = F.concat(F.slice(lines, F.lit(1), head), F.array(F.lit(new)), F.slice(lines, head + 1, F.size(lines)))
     return F.when(at > 0, F.array_join(changed, "\n")).otherwise(text)
+
+
+def cases(bases: DataFrame, mutations: list[tuple[str, str, Callable[[Column, Column], Column]]]) -> DataFrame:
+    """M4: each of ``bases(doc_id, text)`` as it is (class ``control``) and under each mutation."""
+    told = F.array(
+        F.struct(F.lit("control").alias("failure_class"), F.lit("none").alias("mutation"), F.col("text").alias("text")),
+        *[F.struct(F.lit(c).alias("failure_class"), F.lit(n).alias("mutation"), f(F.col("text"), F.col("doc_id")).alias("text")) for c, n, f in mutations],
+    )
+    return bases.select("doc_id", F.explode(told).alias("c")).select("doc_id", "c.*")
+
+
+#: The mutations of the robustness set.
+MUTATIONS = [
+    ("ocr", "noise", lambda text, key: ocr_noise(text, key, 1)),
+    ("layout", "header", lambda text, key: insert_line(text, ".", "PAGE 1 OF 1", False)),
+    ("layout", "blank", lambda text, key: insert_line(text, "(?i)total", "", False)),
+    ("label", "total", lambda text, key: F.regexp_replace(text, "(?i)grand total|\\btotal\\b", "Net Amount")),
+    ("distractor", "phone", lambda text, key: insert_line(text, "(?i)invoice", "Phone 98.76", True)),
+    ("distractor", "discount", lambda text, key: insert_line(text, "(?i)invoice", "Discount offered 5.00", True)),
+]

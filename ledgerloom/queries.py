@@ -624,3 +624,49 @@ def r07_agreement(spark, sf_dir):
     """Whether two scores choose the same row of a group."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", (F.col("o_totalprice") % 1000).alias("model"))
     return ranking.agreement(rows, "o_custkey", "o_orderkey", "o_totalprice", "model")
+
+
+@query(f"""WITH {LINES}, o AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(position AS INTEGER) AS item_index FROM lines JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 3 = 0)
+SELECT doc_id, count(*) AS fields, CAST(0 AS BIGINT) AS unlike FROM (SELECT doc_id, unnest(['amount', 'price', 'quantity']) FROM o) GROUP BY 1""")
+def e02_item_report(spark, sf_dir):
+    """Items of the proforma layout, read back and compared by position and field."""
+    found = items.strict_items(render.read_order_documents(spark, sf_dir))
+    long = lambda df: df.unpivot(["doc_id", "item_index"], ["quantity", "price", "amount"], "field", "value")
+    actual = long(found.select("doc_id", "item_index", F.col("quantity_thousandths").alias("quantity"), F.col("unit_price_cents").alias("price"), F.col("line_amount_cents").alias("amount")))
+    lines = render.order_lines(table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").where("l_orderkey % 3 = 0")
+    expected = long(lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("position").alias("item_index"), (F.col("qty") * 1000).alias("quantity"), F.col("unit_cents").alias("price"), F.col("line_cents").alias("amount")))
+    told = verify.compared(actual, expected, ["doc_id", "item_index", "field"], "value")
+    return told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.count_if(F.col("outcome") != "match").alias("unlike"))
+
+
+@query("""WITH o AS (SELECT user_id, event_type, CASE WHEN event_id % 50 = 0 THEN 'missing' WHEN event_id % 50 = 1 THEN 'wrong' ELSE 'match' END AS outcome, event_id FROM events)
+SELECT user_id, coalesce(array_to_string(list_sort(list(event_id) FILTER (outcome = 'missing')), ','), '') AS missing, coalesce(array_to_string(list_sort(list(event_id) FILTER (outcome = 'wrong')), ','), '') AS wrong
+FROM o GROUP BY 1 HAVING count(*) FILTER (outcome <> 'match') > 0""")
+def e08_highlights(spark, sf_dir):
+    k = F.col("event_id") % 50
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(k == 0, "missing").when(k == 1, "wrong").otherwise("match").alias("outcome"))
+    return evaluate.highlights(rows, "user_id", "event_id").select("user_id", F.array_join("missing", ",").alias("missing"), F.array_join("wrong", ",").alias("wrong"))
+
+
+@query(f"""WITH {TOTALS} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 2 * n_lines + CASE l_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN n_lines + 2 + CASE WHEN tax > 0 THEN 4 ELSE 0 END ELSE 3 + CASE WHEN tax > 0 THEN 2 ELSE 0 END END AS strict
+FROM totals JOIN orders ON o_orderkey = l_orderkey""")
+def c04_merged_amounts(spark, sf_dir):
+    """With loose amounts merged in, the strict ones are all kept: same count of words with two decimals."""
+    docs = render.read_order_documents(spark, sf_dir)
+    strict, loose = candidates.money_candidates(docs), candidates.loose_amounts(docs)
+    # Amounts of one text on one line are one row of the merge; the strict list keeps its places.
+    kept = strict.join(candidates.merged_amounts(strict, loose), ["doc_id", "line_index", "amount_cents", "amount_text"], "left_semi")
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("strict"))
+
+
+@query()
+def c12_contexts(spark, sf_dir):
+    """Context of every money candidate of the order documents."""
+    return candidates.contexts(candidates.money_candidates(render.read_order_documents(spark, sf_dir))).select("doc_id", "candidate_index", "context")
+
+
+@query("""SELECT 'control' AS failure_class, 'none' AS mutation, count(*) AS n FROM documents UNION ALL
+SELECT unnest(['ocr', 'layout', 'layout', 'label', 'distractor', 'distractor']), unnest(['noise', 'header', 'blank', 'total', 'phone', 'discount']), (SELECT count(*) FROM documents)""")
+def m04_cases(spark, sf_dir):
+    found = mutate.cases(table(spark, sf_dir, "documents").select("doc_id", "text"), mutate.MUTATIONS)
+    return found.groupBy("failure_class", "mutation").agg(F.count(F.when(F.col("text").isNotNull(), 1)).alias("n"))
