@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    _local_dir = _local_dir or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    if not _local_dir:
+        own = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _local_dir = "file://" + own
     return _local_dir
 
 

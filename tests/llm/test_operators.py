@@ -11,6 +11,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from ledgerloom.llm import ctw, licenses, mixing, packing, parsing, secrets, simhash, substrings, topk, toxicity
+from ledgerloom.llm.common import materialize
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.queries import QUERIES, tokenizer_path
 
@@ -261,7 +262,7 @@ def test_packing_round_trip(docs, none, spark):
     texts = [t or "" for _, t in ROWS] + odd
     for text, raw in zip(texts, packing.encode_texts(texts, tokenizer_path())):
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    pieces = packing.tokenize(docs, tokenizer_path(), window=512).localCheckpoint()
+    pieces = materialize(packing.tokenize(docs, tokenizer_path(), window=512), "pieces")
     got = packing.pack(pieces, ["doc_id", "start", "ids"], window=512, salts=3).collect()
     whole, windows = defaultdict(list), defaultdict(list)
     for r in got:
@@ -336,7 +337,7 @@ def test_mixing_meets_targets(spark, docs, none):
     table = spark.createDataFrame(rows + [(None, "red"), (5000, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, "r" if i % 3 == 0 else "b") for i in range(0, 150)] + [(None, "r"), (3, None)], "doc_id long, domain string")
     weights, prior = mixing.fit(table, labels, ["r", "b"])
-    members = mixing.posteriors(table, weights, prior).localCheckpoint()
+    members = materialize(mixing.posteriors(table, weights, prior), "members")
     got = mixing.rates(members, {"r": 0.6, "b": 0.4}, ridge=1e-3, most_steps=400, close=1e-9)
     out = [r.asDict() for r in got.collect()]
     assert len(out) == 302 and all(r["rate"] >= 0 for r in out)
