@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions import dates
-from ledgerloom.operators import candidates, datasets, evaluate, families, items, layout, mutate, ranking, render, states, verify
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, ranking, render, states, verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -670,3 +670,19 @@ SELECT unnest(['ocr', 'layout', 'layout', 'label', 'distractor', 'distractor']),
 def m04_cases(spark, sf_dir):
     found = mutate.cases(table(spark, sf_dir, "documents").select("doc_id", "text"), mutate.MUTATIONS)
     return found.groupBy("failure_class", "mutation").agg(F.count(F.when(F.col("text").isNotNull(), 1)).alias("n"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, field, CASE field WHEN 'document_number' THEN 'INV/' || o_orderkey ELSE strftime(o_orderdate, '%d/%m/%Y') END AS value
+FROM orders, (VALUES ('document_number'), ('document_date')) v(field) WHERE o_orderkey % 3 = 2 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def t19_key_values(spark, sf_dir):
+    """Number and date of the layout that has them on lines of their own, the keys worn by one letter."""
+    docs = render.read_order_documents(spark, sf_dir)
+    worn = F.regexp_replace(F.regexp_replace("text", "(?m)^Date:", "Dote :"), "(?m)^Invoice #:", "1nvoice #:")
+    found = keyvalues.key_values(docs.select("doc_id", worn.alias("text"))).where(F.col("field").isin("document_number", "document_date"))
+    return found.select("doc_id", "field", F.when(F.col("field") == "document_number", keyvalues.document_number(F.col("value"))).otherwise(F.col("value")).alias("value"))
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 0 AS address FROM customer")
+def t10_addresses(spark, sf_dir):
+    shown = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("12 Station Road, "), F.col("c_name"))).when(F.col("c_custkey") % 4 == 2, "Pune 411001").otherwise(F.concat(F.lit("Trader "), F.col("c_custkey")))
+    return table(spark, sf_dir, "customer").select("c_custkey", keyvalues.address(shown).alias("address"))
