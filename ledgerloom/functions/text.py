@@ -18,7 +18,7 @@ def words_pattern(words: str) -> str:
 
 def normalize_ocr(text: Column) -> Column:
     """Line ends to LF, no-break to plain spaces, no zero-width spaces, trimmed."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), " ", " "), "​", "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), "\\u00a0", " "), "\\u200b", "")
     return F.regexp_replace(plain, f"^{SPACE}+|{SPACE}+$", "")
 
 

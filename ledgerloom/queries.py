@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions import dates
-from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, ranking, render, states, verify
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, parties, ranking, render, states, verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -686,3 +686,19 @@ def t19_key_values(spark, sf_dir):
 def t10_addresses(spark, sf_dir):
     shown = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("12 Station Road, "), F.col("c_name"))).when(F.col("c_custkey") % 4 == 2, "Pune 411001").otherwise(F.concat(F.lit("Trader "), F.col("c_custkey")))
     return table(spark, sf_dir, "customer").select("c_custkey", keyvalues.address(shown).alias("address"))
+
+
+@query(f"""WITH {LINES}, o AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_orderkey % 3 AS k, count(*) AS n, 'Firm ' || min_by(l_suppkey, position) || ' LLP' AS seller, 'Trader ' || any_value(o_custkey) || ' Pvt Ltd' AS buyer
+  FROM lines JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)
+SELECT doc_id, CAST(CASE k WHEN 0 THEN 4 ELSE 5 END AS INTEGER) AS line_index, buyer AS name FROM o WHERE k < 2 UNION ALL
+SELECT doc_id, CAST(CASE k WHEN 0 THEN n + 14 ELSE 2 END AS INTEGER), seller FROM o WHERE k < 2""")
+def l09_nearest_names(spark, sf_dir):
+    return parties.nearest_names(render.read_order_documents(spark, sf_dir)).select("doc_id", "line_index", "name")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN CAST(1 AS INTEGER) WHEN 1 THEN 3 ELSE 10 END AS seller_lines
+FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def l08_party_roles(spark, sf_dir):
+    """Lines before the buyer's heading belong to the seller, in the layouts with a heading."""
+    found = parties.roles(render.read_order_documents(spark, sf_dir).where("layout <> 'retail'"))
+    return found.where("role = 'seller'").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("seller_lines"))
