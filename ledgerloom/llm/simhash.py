@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, map_steps, materialize
+from .common import map_steps, materialize
 from .components import connected_components
 
 #: Shingles that are hashed at a time, so that a very long text needs no more memory.
@@ -145,22 +145,18 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int =
     All columns are kept; the input's scan must number its rows alike each time, as stored tables do.
     """
 
-    importable(docs.sparkSession)
-    @F.pandas_udf("p0 long, p1 long")
-    def prints(texts):
-        import pandas as pd
+    def prints(batch: pa.RecordBatch):
+        found = np.array([block_prints(words_of(t)) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, 2)
+        yield {c: batch.column(c) for c in ("_row", "x", "y")} | {"p0": pa.array(found[:, 0]), "p1": pa.array(found[:, 1])}
 
-        rows = [block_prints(words_of(t)) for t in texts]
-        return pd.DataFrame({"p0": [int(r[0]) for r in rows], "p1": [int(r[1]) for r in rows]})
-
-    @F.pandas_udf("array<int>")
-    def sets(texts):
-        return texts.map(lambda t: np.unique(np.concatenate([*shingle_hashes(words_of(t), shingle), np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)))
+    def sets(batch: pa.RecordBatch):
+        own = [np.concatenate([*shingle_hashes(words_of(t), shingle), np.zeros(0, np.uint64)]) for t in batch.column("text").to_pylist()]
+        yield {"_row": batch.column("_row"), "s": [np.unique(h.astype(np.uint32).view(np.int32)) for h in own]}
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     given = numbered.select("_row", F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"), text.alias("text"))
-    rows = materialize(given.select("_row", "x", "y", prints("text").alias("p")).select("_row", "x", "y", "p.p0", "p.p1"), "prints")
+    rows = materialize(map_steps(given, prints, "_row long, x long, y long, p0 long, p1 long"), "prints")
     nodes = materialize(rows.groupBy("x", "y").agg(F.min("_row").alias("node"), F.min("p0").alias("p0"), F.min("p1").alias("p1")), "texts")
     low = F.lit((1 << 32) - 1)
     parts = [F.col("p0").bitwiseAND(low), F.shiftrightunsigned("p0", 32), F.col("p1").bitwiseAND(low), F.shiftrightunsigned("p1", 32)]
@@ -174,7 +170,8 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int =
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     close = materialize(close.where(apart <= MOST_BITS).select("a", "b"), "close")
     wanted = close.select(F.col("a").alias("_row")).union(close.select("b")).distinct()
-    found = materialize(given.select("_row", "text").hint("merge").join(wanted.hint("merge"), "_row").select("_row", sets("text").alias("s")), "sets")
+    needed = given.select("_row", "text").hint("merge").join(wanted.hint("merge"), "_row")
+    found = materialize(map_steps(needed, sets, "_row long, s array<int>"), "sets")
     both = close.hint("merge").join(found.select(F.col("_row").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
     both = both.hint("merge").join(found.select(F.col("_row").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
