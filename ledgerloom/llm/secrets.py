@@ -38,7 +38,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ALLOW = (
     r"[A-Za-z]+",  # words of any length
     r"[a-z]+(?:[_/=+-][a-z]+)*",  # snake case and paths of words
-    r"(?:[A-Z]?[a-z]+)+[0-9]{0,4}",  # camel case
+    r"[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[0-9]{0,4}",  # camel case, in one way only: no backtracking
     r"[0-9]+",  # numbers
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
     r".*(?:EXAMPLE|example|xxxx|XXXX|0000000|1234567|abcdefg).*",  # placeholders

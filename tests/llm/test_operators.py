@@ -3,8 +3,11 @@ columns with clashing names."""
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -220,6 +223,11 @@ def test_secret_spans(spark, docs, none):
     assert cleaned[1:] == [(2, None, None), (3, "plain", 5)]
 
 
+def test_secret_scan_of_long_words_ends():
+    code = "from ledgerloom.llm.secrets import Scanner; s = Scanner(); [s.scan(t) for t in ('abcdefghij' * 6 + '_1', 'settingsOfAll' * 6 + '_1', 'path/' * 12 + 'words-of-a-slug' * 4 + '/2024')]"
+    subprocess.run([sys.executable, "-c", code], timeout=20, check=True, cwd=Path(__file__).parents[2])
+
+
 def test_window_entropy_by_counts():
     rng = np.random.default_rng(0)
     scanner = secrets.Scanner()
