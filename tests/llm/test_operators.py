@@ -228,6 +228,21 @@ def test_secret_scan_of_long_words_ends():
     subprocess.run([sys.executable, "-c", code], timeout=20, check=True, cwd=Path(__file__).parents[2])
 
 
+def test_secrets_without_digits_short_or_beside_placeholders():
+    scanner, rng = secrets.Scanner(), np.random.default_rng(4)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for letters, sizes in ((lower, (16, 20, 40)), (lower.upper() + lower, (16, 20, 40)), (lower.upper() + lower + "+/", (20, 40))):
+        for n in sizes:
+            runs = ["".join(rng.choice(list(letters), n)) for _ in range(200)]
+            assert sum(any(k == "entropy" for k, _, _ in scanner.scan(f"a {r}, b")) for r in runs) >= 190
+    assert scanner.scan("key zQ8kP2vX9mN4bT7w end") == [("entropy", 4, 20)]
+    key = "zQ8kP2vX9mN4bT7wR1yL6cJ3"
+    assert scanner.scan(f"{key}/{'example/' * 4}")[0][:2] == ("entropy", 0)
+    assert scanner.scan("example_" * 4 + key)[-1][2] == 32 + len(key)
+    for words in ("internationalizationconfigurationsettings", "convertToInternalRepresentation", "keyboard_input12", "org/apache/hadoop/mapreduce", "well-known-trusted-platform-module", "Anticonstitutionnellement", "-" * 40):
+        assert scanner.scan(words) == []
+
+
 def test_window_entropy_by_counts():
     rng = np.random.default_rng(0)
     scanner = secrets.Scanner()
