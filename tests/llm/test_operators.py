@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ledgerloom.llm import ctw, licenses, mixing, packing, parsing, secrets, simhash, substrings, topk, toxicity
@@ -382,5 +383,22 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixing.rates(mixing.posteriors(none, weights, prior), {"r": 1, "b": 1}).count() == 0
 
 
+def test_mixing_defaults_meet_far_targets(spark, caplog):
+    rng = np.random.default_rng(3)
+    rare = rng.random(600) < 0.08
+    rows = [(i, prose(i, int(rng.integers(20, 400))) + (" red" if rare[i] else " blue") * int(rng.integers(4, 30))) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "r" if rare[i] else "b") for i in range(0, 600, 2)], "doc_id long, domain string")
+    members = materialize(mixing.posteriors(table, *mixing.fit(table, labels, ["r", "b"])), "members")
+    out = mixing.rates(members, {"r": 0.4, "b": 0.6}).toPandas()
+    n = out["n_tokens"] / out["n_tokens"].sum()
+    for d, share in (("r", 0.4), ("b", 0.6)):
+        assert (n * out[f"p_{d}"]).sum() != pytest.approx(share, rel=0.2)
+        assert (n * out[f"p_{d}"] * out["rate"]).sum() == pytest.approx(share, rel=0.01)
+    assert (out["rate"] >= 0).all() and not caplog.records
+    mixing.rates(members.withColumn("p_r", F.lit(0.0)), {"r": 0.4, "b": 0.6})
+    assert "r 0.0000 for 0.4000" in caplog.text
+
+
 def test_registered_names():
     assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)]
