@@ -47,17 +47,38 @@ def hash_split(key: Column, percent: int) -> Column:
     return F.when(fnv1a(key) % 100 < percent, "eval").otherwise("train")
 
 
+def hash_at(hashes: DataFrame, ratio: float, digits: int = 3, most: int = 1000) -> str:
+    """The hash that max(1, floor(n * ratio)) of the n distinct hexadecimal hashes ``_h`` do not exceed, empty without any.
+
+    Hashes are counted by their next ``digits`` until the bucket that holds the wanted one has at most ``most``; only
+    those are fetched, and at most 16 ** ``digits`` counts at a time.
+    """
+    prefix, rank = "", None
+    while True:
+        within = hashes.where(F.col("_h").startswith(prefix))
+        counts = within.groupBy(F.substring("_h", len(prefix) + 1, digits).alias("_next")).agg(F.count(F.lit(1)).alias("_n")).collect()
+        if not counts:
+            return ""
+        if rank is None:
+            rank = max(1, int(sum(r["_n"] for r in counts) * ratio))
+        for bucket, size in sorted((r["_next"], r["_n"]) for r in counts):
+            if rank <= size:
+                break
+            rank -= size
+        prefix += bucket
+        if size <= most:
+            return sorted(r["_h"] for r in hashes.where(F.col("_h").startswith(prefix)).collect())[rank - 1]
+
+
 def group_split(rows: DataFrame, group: str, ratio: float, seed: int = 7) -> DataFrame:
     """Exactly max(1, floor(n * ratio)) groups go to eval, in order of a hash of seed and group.
 
-    Groups are ranked within range partitions of the hash, and offsets of partitions added: no single task.
+    The last hash of eval is found by counts of hash prefixes: no task ranks or holds all groups. Rows without a group
+    are left out.
     """
-    groups = rows.select(group).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))))
-    n = groups.count()
-    cut = max(1, int(n * ratio))
-    # The cut-th smallest hash parts the groups.
-    edge = groups.orderBy("_h").limit(cut).agg(F.max("_h").alias("_edge"))
-    told = groups.join(F.broadcast(edge)).withColumn("split", F.when(F.col("_h") <= F.col("_edge"), "eval").otherwise("train"))
+    groups = rows.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))))
+    edge = hash_at(groups.select("_h"), ratio)
+    told = groups.withColumn("split", F.when(F.col("_h") <= edge, "eval").otherwise("train"))
     return rows.join(told.select(group, "split"), group)
 
 
