@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.candidates import receipt_totals
 from ledgerloom.operators.render import read_order_documents
-from ledgerloom.operators.states import STATES
+from ledgerloom.operators.states import STATES, canonical_states
 from ledgerloom.plans.receipts import receipts
 from ledgerloom.sources import files
 from ledgerloom.streaming.documents import stream_grids, stream_totals
@@ -81,3 +81,9 @@ def test_receipt_plan(spark, sf):
 
 def test_states_are_whole():
     assert len(STATES) == 35 and len({c for c, _ in STATES}) == 35
+
+
+def test_states_by_alias(spark):
+    names = {"Bhubaneswar, Orissa": "21", "PONDICHERRY 605001": "34", "Pondichery": "34", "New Delhi": "07", "Andaman & Nicobar Islands": "35", "Nowhere": None}
+    places = spark.createDataFrame([(n,) for n in names], "place string")
+    assert {r["place"]: r["code"] for r in canonical_states(places, "place").collect()} == names
