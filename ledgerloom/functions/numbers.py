@@ -107,12 +107,22 @@ def named_bucket(kind: str, value: Column) -> Column:
 NUMBER_WORDS = {w: i for i, w in enumerate(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 )} | {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
-NUMBER_SCALES = {"thousand": 1_000, "lakh": 100_000, "lakhs": 100_000, "crore": 10_000_000, "crores": 10_000_000}
+NUMBER_SCALES = {"thousand": 1_000, "lakh": 100_000, "lakhs": 100_000, "lac": 100_000, "lacs": 100_000, "crore": 10_000_000, "crores": 10_000_000}
 
 
 def number_words(text: Column) -> Column:
-    """Value of a number in words; other words are skipped."""
-    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+    """An amount in words in hundredths: rupees, and paise after ``and paise`` or before ``paise``; other words are skipped."""
+    low = F.lower(text)
+    behind = "^(.*?)\\band\\s+paise\\b(.*)$"
+    before = "^(.*)\\band\\s+(.*?)\\s+paise\\b.*$"
+    form = F.when(low.rlike(behind), 1).when(low.rlike(before), 2).otherwise(0)
+    main = F.when(form == 1, F.regexp_extract(low, behind, 1)).when(form == 2, F.regexp_extract(low, before, 1)).otherwise(low)
+    paise = F.when(form == 1, F.regexp_extract(low, behind, 2)).when(form == 2, F.regexp_extract(low, before, 2)).otherwise("")
+    return _whole_words(main) * 100 + _whole_words(paise)
+
+
+def _whole_words(text: Column) -> Column:
+    words = F.filter(F.split(text, "[^a-z]+"), lambda w: w != "")
     small = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, n)])
     scales = F.create_map(*[F.lit(x) for w, n in NUMBER_SCALES.items() for x in (w, n)])
 
@@ -126,3 +136,22 @@ def number_words(text: Column) -> Column:
 
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("current"))
     return F.aggregate(words, start, step, lambda s: s.total + s.current)
+
+
+def in_words(number: Column) -> Column:
+    """A whole number below 1,000 crores in words, with Indian scales; the inverse of :func:`number_words` but for paise."""
+    small = F.array(*[F.lit(w) for w in list(NUMBER_WORDS)[:20]])
+    tens = F.array(*[F.lit(w) for w in ["", "", *list(NUMBER_WORDS)[20:]]])
+    at = lambda names, n: F.get(names, n.cast("int"))
+
+    def below_hundred(n: Column) -> Column:
+        unit = F.when(n % 10 > 0, at(small, n % 10))
+        return F.when(n == 0, F.lit(None)).when(n < 20, at(small, n)).otherwise(F.concat_ws(" ", at(tens, F.floor(n / 10)), unit))
+
+    parts = [
+        *[F.when(n > 0, F.concat_ws(" ", below_hundred(n), F.lit(name))) for n, name in (
+            (F.floor(number / 10_000_000), "crore"), (F.floor(number / 100_000) % 100, "lakh"), (F.floor(number / 1_000) % 100, "thousand"), (F.floor(number / 100) % 10, "hundred"),
+        )],
+        below_hundred(number % 100),
+    ]
+    return F.when(number == 0, "zero").otherwise(F.concat_ws(" ", *parts))

@@ -40,7 +40,9 @@ def test_fnv1a(spark):
 
 
 @pytest.mark.parametrize("given, want", [
-    ("one lakh twenty three thousand four hundred fifty six", 123456), ("Two Crore", 20000000), ("nine hundred ninety nine", 999), ("Rupees five thousand only", 5000), ("", 0),
+    ("one lakh twenty three thousand four hundred fifty six", 12345600), ("Two Crore", 2000000000), ("nine hundred ninety nine", 99900), ("Rupees five thousand only", 500000), ("", 0),
+    ("Rupees Fifty Thousand Four Hundred Forty Four and Paise Fifty Only", 5044450), ("INR Two Lakhs Thirty Five Thousand Six Hundred Only", 23560000),
+    ("Rs. One Crore Twenty Lakhs", 1200000000), ("two lacs and fifty paise only", 20000050), ("Twenty-Three", 2300),
 ])
 def test_number_words(spark, given, want):
     assert value(spark, num.number_words(F.col("s")), s=given) == want
