@@ -79,7 +79,7 @@ def group_split(rows: DataFrame, group: str, ratio: float, seed: int = 7) -> Dat
     groups = rows.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))))
     edge = hash_at(groups.select("_h"), ratio)
     told = groups.withColumn("split", F.when(F.col("_h") <= edge, "eval").otherwise("train"))
-    return rows.join(told.select(group, "split"), group)
+    return rows.hint("merge").join(told.select(group, "split").hint("merge"), group)
 
 
 SPECIAL = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
@@ -105,7 +105,7 @@ def vocabulary(docs: DataFrame, text: str) -> DataFrame:
 def encoded(docs: DataFrame, key: list[str], text: str, vocab: DataFrame, length: int) -> DataFrame:
     """Ids of each text as CLS, tokens, SEP, padding, of ``length``, and the mask."""
     tokens = docs.select(*key, F.posexplode_outer(F.slice(F.filter(F.split(F.lower(text), "\\s+"), lambda t: t != ""), 1, length - 2)).alias("_at", "token"))
-    ids = tokens.join(vocab, "token", "left").withColumn("_id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(1))))
+    ids = tokens.hint("merge").join(vocab.hint("merge"), "token", "left").withColumn("_id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(1))))
     kept = ids.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_id").isNotNull(), F.struct("_at", "_id")))), lambda x: x["_id"]).alias("_ids"))
     full = F.concat(F.array(F.lit(2).cast("long")), F.col("_ids"), F.array(F.lit(3).cast("long")))
     return kept.withColumn("_full", full).select(

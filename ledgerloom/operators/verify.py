@@ -76,7 +76,7 @@ def unprocessed(docs: DataFrame, seen: DataFrame, version: str, days: int = 30)
     hashed = docs.withColumn("content_hash", F.sha2(F.col("text"), 256))
     first = hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
     fresh = seen.where((F.col("version") == version) & (F.col("age_days") <= days)).select("content_hash")
-    return first.join(fresh, "content_hash", "left_anti")
+    return first.hint("merge").join(fresh.hint("merge"), "content_hash", "left_anti")
 
 
 def compared(actual: DataFrame, expected: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -84,14 +84,14 @@ def compared(actual: DataFrame, expected: DataFrame, keys: list[str], value: str
     a = actual.select(*keys, F.col(value).alias("actual"), F.lit(True).alias("_a"))
     e = expected.select(*keys, F.col(value).alias("expected"), F.lit(True).alias("_e"))
     told = F.when(F.col("_e").isNull(), "extra").when(F.col("_a").isNull(), "missing").when(F.col("actual").eqNullSafe(F.col("expected")), "match").otherwise("wrong")
-    return a.join(e, keys, "full").withColumn("outcome", told).drop("_a", "_e")
+    return a.hint("merge").join(e.hint("merge"), keys, "full").withColumn("outcome", told).drop("_a", "_e")
 
 
 def receipt_checks(docs: DataFrame, tolerance: int = 100) -> DataFrame:
     """V5: for documents with strict items, whether lines, the taxable amount and the total agree, in cents."""
     lines = strict_items(docs).withColumn("_ok", F.abs(F.floor(F.col("quantity_thousandths") * F.col("unit_price_cents") / 1000.0 + 0.5) - F.col("line_amount_cents")) <= tolerance)
     sums = lines.groupBy("doc_id").agg(F.bool_and("_ok").alias("lines_agree"), F.sum("line_amount_cents").alias("_sum"))
-    told = sums.join(summary_amounts(docs), "doc_id").withColumn("taxable_agrees", F.abs(F.col("taxable_cents") - F.col("_sum")) <= tolerance)
+    told = sums.hint("merge").join(summary_amounts(docs).hint("merge"), "doc_id").withColumn("taxable_agrees", F.abs(F.col("taxable_cents") - F.col("_sum")) <= tolerance)
     told = told.withColumn("total_agrees", F.abs(F.col("_sum") + F.coalesce("tax_cents", F.lit(0)) - F.col("total_cents")) <= tolerance)
     return told.select("doc_id", "lines_agree", "taxable_agrees", "total_agrees", (F.col("lines_agree") & F.col("taxable_agrees") & F.col("total_agrees")).alias("verified"))
 

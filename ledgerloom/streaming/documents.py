@@ -21,7 +21,7 @@ def stream_grids(spark: SparkSession, source: str, sink: str, checkpoint: str, l
 def extract_totals(docs: DataFrame) -> DataFrame:
     """``(doc_id, total_cents, error)`` for every document; one without a total has an error instead of stopping."""
     found = receipt_totals(docs).select("doc_id", "total_cents")
-    return docs.select("doc_id").join(found, "doc_id", "left").withColumn("error", F.when(F.col("total_cents").isNull(), "no total found"))
+    return docs.select("doc_id").hint("merge").join(found.hint("merge"), "doc_id", "left").withColumn("error", F.when(F.col("total_cents").isNull(), "no total found"))
 
 
 def stream_totals(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = 1000) -> StreamingQuery:
