@@ -58,6 +58,7 @@ def money_candidates(docs: DataFrame) -> DataFrame:
 
 def total_score() -> Column:
     """Rule score of a money candidate."""
+    # The weights below.
     c, yes = F.col, lambda cond, w: F.when(cond, w).otherwise(0)
     either = lambda name, weights: sum((yes(c(name) == v, w) for v, w in weights.items()), F.lit(0))
     several, last = c("amount_count") > 1, c("token_index") == c("amount_count") - 1
@@ -100,7 +101,7 @@ def contexts(candidates: DataFrame) -> DataFrame:
         F.lit("top_amounts"), F.col("_amounts"), F.lit("prev"), context_summary(F.col("prev_line")), F.lit("left"), context_summary(F.col("left_text")),
         F.lit("line"), context_summary(F.col("line_text")), F.lit("next"), context_summary(F.col("next_line")),
     ]
-    return candidates.join(amounts, "doc_id").withColumn("context", F.concat_ws(" ", *parts)).drop("_amounts")
+    return candidates.hint("merge").join(amounts.hint("merge"), "doc_id").withColumn("context", F.concat_ws(" ", *parts)).drop("_amounts")
 
 
 def loose_amounts(docs: DataFrame) -> DataFrame:
@@ -110,17 +111,21 @@ def loose_amounts(docs: DataFrame) -> DataFrame:
     numeric = F.size(F.filter("words", lambda w: w.text.rlike(loose)))
     letters = F.exists("words", lambda w: w.text.rlike("[A-Za-z]{2}"))
     item = ((numeric >= 3) & letters) | F.col("line_text").rlike(words_pattern("qty|quantity|rate|hsn|description|particulars"))
-    each = lines.select("doc_id", "line_index", "line_text", "page_width", "words", item.alias("line_item_cue"), F.posexplode("words").alias("_i", "_w")).where(F.col("_w.text").rlike(loose))
+    each = lines.select("doc_id", "line_index", "line_text", "page_width", "n_lines", "words", item.alias("line_item_cue"), F.posexplode("words").alias("_i", "_w")).where(F.col("_w.text").rlike(loose))
     left = collapse(F.array_join(F.transform(F.slice("words", F.lit(1), F.col("_i")), lambda w: w.text), " "))
     return each.select(
         "doc_id", "line_index", F.col("_i").alias("word_index"), "line_text", "line_item_cue", F.col("_w.text").alias("amount_text"), money_to_cents(F.col("_w.text")).alias("amount_cents"),
         left.alias("left_text"), (F.col("_i") == F.size("words") - 1).alias("rightmost"), named_bucket("page_right", F.col("_w.x_max") / F.col("page_width")).alias("page_right"),
+        named_bucket("page_vertical", F.col("line_index") / F.col("n_lines")).alias("page_y"),
     )
 
 
-def merged_amounts(first: DataFrame, second: DataFrame) -> DataFrame:
-    """C4: one row for each line, amount and text of two lists; the second list's row wins only with more filled cues."""
-    columns = ["doc_id", "line_index", "amount_cents", "amount_text", "left_text", "page_right"]
+def merged_amounts(first: DataFrame, second: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """C4: one row for each line, amount and text of two lists; the second list's row wins only with more filled cues.
+
+    ``more`` names further columns of both lists that are kept.
+    """
+    columns = ["doc_id", "line_index", "amount_cents", "amount_text", "left_text", "page_right", *more]
     both = first.select(*columns, F.lit(0).alias("_list")).unionByName(second.select(*columns, F.lit(1).alias("_list")))
     signals = F.coalesce((F.col("left_text") != "").cast("int"), F.lit(0)) + F.col("page_right").isNotNull().cast("int")
     order = Window.partitionBy("doc_id", "line_index", "amount_cents", "amount_text").orderBy(F.desc(signals), "_list", "left_text")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import format_number, make_gstin
 
+from .states import STATES
+
 
 def order_lines(lineitem: DataFrame, part: DataFrame | None = None) -> DataFrame:
     """Lines of orders in their order, with whole-cent prices whose product is exact."""
@@ -79,6 +81,75 @@ def order_documents(orders: DataFrame, lineitem: DataFrame, part: DataFrame, cus
     return docs.select(F.col("l_orderkey").cast("string").alias("doc_id"), layout.alias("layout"), F.array_join(text, "\n").alias("text"), "subtotal", "tax", "total")
 
 
+#: Families of vouchers in turn, with their titles and the head of their numbers.
+VOUCHERS = [("proforma_invoice", "PROFORMA INVOICE", "PI-"), ("sales_invoice", "TAX INVOICE", "INV/"), ("purchase_invoice", "PURCHASE INVOICE", "PUR/"), ("credit_note", "CREDIT NOTE", "CN/"), ("debit_note", "DEBIT NOTE", "DN/")]
+
+
+def voucher_documents(orders: DataFrame, lineitem: DataFrame, part: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """``(doc_id, family, text)``: a voucher for each order that has lines, five families in two layouts.
+
+    Items stand in columns of fixed width. Tax is split where both parties are of one state; proformas print one sum.
+    """
+    lines = order_lines(lineitem, part)
+    line = F.struct("position", "label", "qty", "unit_cents", "line_cents", "l_suppkey", "l_partkey")
+    gathered = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.sum("line_cents").alias("subtotal"))
+    bp = F.when(F.col("l_orderkey") % 4 == 0, 0).when(F.col("l_orderkey") % 4 == 1, 500).when(F.col("l_orderkey") % 4 == 2, 1200).otherwise(1800)
+    docs = gathered.hint("merge").join(orders.withColumnRenamed("o_orderkey", "l_orderkey").hint("merge"), "l_orderkey")
+    docs = docs.withColumn("tax_bp", bp.cast("long")).withColumn("tax", F.expr("(subtotal * tax_bp + 5000) div 10000")).withColumn("total", F.expr("subtotal + tax"))
+    docs = docs.withColumn("suppkey", F.col("lines")[0]["l_suppkey"])
+    docs = docs.hint("merge").join(supplier.select(F.col("s_suppkey").alias("suppkey"), "s_nationkey").hint("merge"), "suppkey", "left")
+    docs = docs.hint("merge").join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").hint("merge"), "o_custkey", "left")
+    code = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(0)), F.lit(24)) + 1
+    names = F.create_map(*[F.lit(x) for c, n in STATES for x in (int(c), n)])
+    docs = docs.withColumn("seller_code", code("s_nationkey")).withColumn("buyer_code", code("c_nationkey"))
+    seller, buyer = F.concat(F.lit("Firm "), F.col("suppkey"), F.lit(" LLP")), F.concat(F.lit("Trader "), F.col("o_custkey"), F.lit(" Pvt Ltd"))
+    seller_id, buyer_id = make_gstin(F.col("seller_code"), F.col("suppkey")), make_gstin(F.col("buyer_code"), F.col("o_custkey"))
+    seller_state, buyer_state = F.element_at(names, F.col("seller_code").cast("int")), F.element_at(names, F.col("buyer_code").cast("int"))
+    kind = F.col("l_orderkey") % len(VOUCHERS)
+    pick = lambda i: F.element_at(F.array(*[F.lit(v[i]) for v in VOUCHERS]), (kind + 1).cast("int"))
+    number, date = F.concat(pick(2), F.col("l_orderkey")), F.date_format("o_orderdate", "dd/MM/yyyy")
+    cols = lambda *parts: F.concat_ws("  ", *parts)
+    money, text = format_number, lambda s: F.lit(s)
+    percent = F.concat((F.col("tax_bp") / 100).cast("int").cast("string"), F.lit("%"))
+
+    def row(position: Column, label: Column, hsn: Column, gst: Column, qty: Column, unit: Column, rate: Column, amount: Column) -> Column:
+        return F.rtrim(F.concat(F.rpad(position, 4, " "), F.rpad(label, 60, " "), F.lpad(hsn, 8, " "), F.lpad(gst, 8, " "), F.lpad(qty, 8, " "), F.lit("  "), F.rpad(unit, 6, " "), F.lpad(rate, 16, " "), F.lpad(amount, 18, " ")))
+
+    head = row(*[F.lit(x) for x in ("Sl", "Description of Goods", "HSN/SAC", "GST", "Qty", "Unit", "Rate", "Amount")])
+    rows = F.transform("lines", lambda x: row(
+        x.position.cast("string"), x.label, (x.l_partkey % 9000 + 1000).cast("string"), percent, x.qty.cast("string"), F.lit("pcs"), money(x.unit_cents), money(x.line_cents),
+    ))
+    proforma = F.concat(
+        F.array(text("PROFORMA INVOICE"), text("Sold to"), cols(buyer, F.concat(F.lit("PI No: "), number), F.concat(F.lit("Date : "), date)), F.concat(F.col("o_custkey"), F.lit(", Business Park, "), buyer_state), F.concat(F.lit("GST No. "), buyer_id), text("PAYMENT TERM:- 100% Advance"), head),
+        rows,
+        F.array(
+            cols(text("TAXABLE"), money(F.col("subtotal"))), cols(F.concat(F.lit("GST @ "), percent), money(F.col("tax"))), cols(text("Sub Total"), money(F.col("total"))),
+            cols(text("Round Off (+/-)"), text("0.00")), cols(text("TOTAL"), money(F.col("total"))), text("Supplier"), seller, F.concat(F.lit("GST No. "), seller_id),
+        ),
+    )
+    some = lambda condition, *parts: F.when(condition, F.array(*parts)).otherwise(F.array().cast("array<string>"))
+    half = F.expr("(tax + 1) div 2")
+    apart = F.col("seller_code") != F.col("buyer_code")
+    others = F.concat(
+        F.array(
+            pick(1), cols(seller, F.concat(F.when(kind == 1, "Invoice").otherwise("Voucher"), F.lit(" No. "), number), F.concat(F.lit("Dated "), date)), text("Supplier (From)"), seller,
+            F.concat(F.col("suppkey"), F.lit(", Industrial Estate, "), seller_state), F.concat(F.lit("GSTIN/UIN: "), seller_id), text("Buyer (Bill to)"), buyer,
+            F.concat(F.col("o_custkey"), F.lit(", Business Park, "), buyer_state), F.concat(F.lit("GSTIN/UIN: "), buyer_id), F.concat(F.lit("Place of Supply : "), buyer_state), head,
+        ),
+        rows,
+        F.array(cols(text("Taxable Value"), money(F.col("subtotal")))),
+        some((F.col("tax") > 0) & apart, cols(text("IGST"), money(F.col("tax")))),
+        some((F.col("tax") > 0) & ~apart, cols(text("CGST"), money(half)), cols(text("SGST"), money(F.col("tax") - half))),
+        F.array(cols(text("Total"), F.concat(F.lit("Rs. "), money(F.col("total"))))),
+    )
+    return docs.select(F.col("l_orderkey").cast("string").alias("doc_id"), pick(0).alias("family"), F.array_join(F.when(kind == 0, proforma).otherwise(others), "\n").alias("text"))
+
+
+def read_voucher_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem", "part", "customer", "supplier")}
+    return voucher_documents(t["orders"], t["lineitem"], t["part"], t["customer"], t["supplier"])
+
+
 def read_order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem", "part", "customer", "supplier")}
     return order_documents(t["orders"], t["lineitem"], t["part"], t["customer"], t["supplier"])

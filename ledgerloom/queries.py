@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions import dates
-from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, parties, ranking, render, states, verify
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, parties, ranking, render, schema, states, tables, verify, vouchers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -208,7 +208,7 @@ FROM totals JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
 def e05_rule_accuracy(spark, sf_dir):
     docs = render.read_order_documents(spark, sf_dir)
     chosen = candidates.receipt_totals(docs).select("doc_id", "total_cents")
-    return docs.join(chosen, "doc_id", "left").groupBy("layout").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce((F.col("total") == F.col("total_cents")).cast("double"), F.lit(0.0))).alias("accuracy"))
+    return docs.hint("merge").join(chosen.hint("merge"), "doc_id", "left").groupBy("layout").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce((F.col("total") == F.col("total_cents")).cast("double"), F.lit(0.0))).alias("accuracy"))
 
 
 @query(f"""WITH {LINES} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, position AS item_index, p_name AS description, qty * 1000 AS quantity_thousandths, unit_cents AS unit_price_cents, qty * unit_cents AS line_amount_cents
@@ -553,7 +553,7 @@ def d02_expected_fields(spark, sf_dir):
 def d03_labelled_amounts(spark, sf_dir):
     """D3: candidates on a total line with the right amount are positive; each document has one."""
     docs = render.read_order_documents(spark, sf_dir)
-    labelled = candidates.money_candidates(docs).join(docs.select("doc_id", "total"), "doc_id").withColumn("label", (F.col("total_cue") & (F.col("amount_cents") == F.col("total"))).cast("long"))
+    labelled = candidates.money_candidates(docs).hint("merge").join(docs.select("doc_id", "total").hint("merge"), "doc_id").withColumn("label", (F.col("total_cue") & (F.col("amount_cents") == F.col("total"))).cast("long"))
     return labelled.groupBy("doc_id").agg(F.sum("label").alias("positives"))
 
 
@@ -609,7 +609,7 @@ def v12_hints(spark, sf_dir):
 def e01_scalar_report(spark, sf_dir):
     docs = render.read_order_documents(spark, sf_dir)
     ranked = candidates.ranked(candidates.money_candidates(docs))
-    told = ranked.join(docs.select("doc_id", "total"), "doc_id").withColumn("hit", F.col("amount_cents") == F.col("total"))
+    told = ranked.hint("merge").join(docs.select("doc_id", "total").hint("merge"), "doc_id").withColumn("hit", F.col("amount_cents") == F.col("total"))
     return told.groupBy("doc_id").agg(F.bool_or("hit").alias("found"), F.bool_or(F.col("hit") & (F.col("rank") == 1)).alias("matches"))
 
 
@@ -655,7 +655,7 @@ def c04_merged_amounts(spark, sf_dir):
     docs = render.read_order_documents(spark, sf_dir)
     strict, loose = candidates.money_candidates(docs), candidates.loose_amounts(docs)
     # Amounts of one text on one line are one row of the merge; the strict list keeps its places.
-    kept = strict.join(candidates.merged_amounts(strict, loose), ["doc_id", "line_index", "amount_cents", "amount_text"], "left_semi")
+    kept = strict.hint("merge").join(candidates.merged_amounts(strict, loose).hint("merge"), ["doc_id", "line_index", "amount_cents", "amount_text"], "left_semi")
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("strict"))
 
 
@@ -702,3 +702,79 @@ def l08_party_roles(spark, sf_dir):
     """Lines before the buyer's heading belong to the seller, in the layouts with a heading."""
     found = parties.roles(render.read_order_documents(spark, sf_dir).where("layout <> 'retail'"))
     return found.where("role = 'seller'").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("seller_lines"))
+
+
+# Vouchers: item tables, field candidates and records.
+
+VOUCHERS = f"""{LINES}, firsts AS (SELECT l_orderkey, arg_min(l_suppkey, position) AS suppkey, count(*) AS n_items, CAST(sum(qty * unit_cents) AS BIGINT) AS subtotal FROM lines GROUP BY l_orderkey),
+known AS (
+  SELECT f.*, o.o_custkey, o.o_orderdate, coalesce(s.s_nationkey, 0) % 24 + 1 AS seller_code, coalesce(c.c_nationkey, 0) % 24 + 1 AS buyer_code,
+         CASE f.l_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 500 WHEN 2 THEN 1200 ELSE 1800 END AS tax_bp, f.l_orderkey % 5 AS kind
+  FROM firsts f JOIN orders o ON o.o_orderkey = f.l_orderkey LEFT JOIN supplier s ON s.s_suppkey = f.suppkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+), vouchers AS (
+  SELECT *, CAST((subtotal * tax_bp + 5000) // 10000 AS BIGINT) AS tax, CAST(l_orderkey AS VARCHAR) AS doc_id,
+         ['proforma_invoice', 'sales_invoice', 'purchase_invoice', 'credit_note', 'debit_note'][kind + 1] AS family, ['PI-', 'INV/', 'PUR/', 'CN/', 'DN/'][kind + 1] || l_orderkey AS number,
+         strftime(o_orderdate, '%d/%m/%Y') AS date, 'Firm ' || suppkey || ' LLP' AS seller_name, 'Trader ' || o_custkey || ' Pvt Ltd' AS buyer_name
+  FROM known
+)"""
+
+
+@query(f"""WITH {VOUCHERS}
+SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(position - 1 AS INTEGER) AS item_index, p_name AS description, CAST(l_partkey % 9000 + 1000 AS VARCHAR) AS hsn_sac, qty * 1000 AS quantity_thousandths,
+       'PCS' AS unit, unit_cents AS unit_price_cents, CAST(v.tax_bp / 100.0 AS DOUBLE) AS tax_rate, qty * unit_cents AS line_amount_cents
+FROM lines JOIN vouchers v USING (l_orderkey) JOIN part ON p_partkey = l_partkey""")
+def p07_items(spark, sf_dir):
+    """Items read back from the tables of rendered vouchers."""
+    return tables.table_items(tables.table_rows(render.read_voucher_documents(spark, sf_dir))).select(
+        "doc_id", "item_index", "description", "hsn_sac", "quantity_thousandths", "unit", "unit_price_cents", "tax_rate", "line_amount_cents"
+    )
+
+
+@query(f"""WITH {VOUCHERS}
+SELECT doc_id, 'document.number' AS field, number AS value FROM vouchers UNION ALL
+SELECT doc_id, 'document.date', date FROM vouchers UNION ALL
+SELECT doc_id, 'seller.name', seller_name FROM vouchers UNION ALL
+SELECT doc_id, 'buyer.name', buyer_name FROM vouchers""")
+def c05_fields(spark, sf_dir):
+    """The first candidate of four fields, by score and line."""
+    found = vouchers.in_order(vouchers.line_candidates(render.read_voucher_documents(spark, sf_dir)))
+    return found.where(F.col("field").isin("document.number", "document.date", "seller.name", "buyer.name") & (F.col("rank") == 1)).select("doc_id", "field", "value")
+
+
+@query(f"""WITH {VOUCHERS}
+SELECT doc_id, 'amounts.taxable_amount_cents' AS field, subtotal AS cents FROM vouchers UNION ALL
+SELECT doc_id, 'taxes.igst_cents', tax FROM vouchers WHERE kind > 0 AND tax > 0 AND seller_code <> buyer_code UNION ALL
+SELECT doc_id, 'taxes.cgst_cents', (tax + 1) // 2 FROM vouchers WHERE kind > 0 AND tax > 0 AND seller_code = buyer_code UNION ALL
+SELECT doc_id, 'taxes.sgst_cents', tax - (tax + 1) // 2 FROM vouchers WHERE kind > 0 AND tax > 0 AND seller_code = buyer_code UNION ALL
+SELECT doc_id, 'amounts.grand_total_cents', subtotal + tax FROM vouchers""")
+def c07_amount_fields(spark, sf_dir):
+    """The first candidate of the taxes, the taxable amount and the total."""
+    found = vouchers.in_order(vouchers.amount_candidates(render.read_voucher_documents(spark, sf_dir)))
+    fields = ("amounts.taxable_amount_cents", "amounts.grand_total_cents", "taxes.igst_cents", "taxes.cgst_cents", "taxes.sgst_cents")
+    return found.where(F.col("field").isin(*fields) & (F.col("rank") == 1)).select("doc_id", "field", F.col("num").alias("cents"))
+
+
+@query(f"""WITH {VOUCHERS}
+SELECT doc_id, family, CAST(30 AS BIGINT) AS n_fields FROM vouchers""")
+def s10_schemas(spark, sf_dir):
+    """The fields of each voucher's family; generic vouchers have the core fields alone."""
+    docs = render.read_voucher_documents(spark, sf_dir).select("doc_id", "family", txt.industry(F.col("text")).alias("industry"))
+    return schema.with_schema(docs).groupBy("doc_id", "family").agg(F.count("field").alias("n_fields"))
+
+
+@query("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 100 + o_orderkey % 100 AS hundredths FROM orders")
+def t27_number_words(spark, sf_dir):
+    """Amounts of orders written in words and read back, paise after the rupees or none."""
+    rupees, paise = F.floor("o_totalprice"), F.col("o_orderkey") % 100
+    words = F.concat(F.lit("Rupees "), num.in_words(rupees), F.when(paise > 0, F.concat(F.lit(" and Paise "), num.in_words(paise))).otherwise(""), F.lit(" Only"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", num.number_words(words).alias("hundredths"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, 'header' AS mutation, CAST(length(text) + CASE WHEN regexp_matches(text, '[^\n]') THEN 12 ELSE 0 END AS INTEGER) AS n_chars FROM d UNION ALL
+SELECT doc_id, 'none', CAST(length(text) AS INTEGER) FROM d""")
+def m04_lengths(spark, sf_dir):
+    """M4: the lengths of documents as they are and under a header line."""
+    bases = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = mutate.cases(bases, [m for m in mutate.MUTATIONS if m[1] == "header"])
+    return found.select("doc_id", "mutation", F.length("text").alias("n_chars"))
