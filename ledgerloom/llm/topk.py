@@ -9,10 +9,15 @@ is below the kth score. Equal bounds read on, for ties go to the smaller id. The
 best of all blocks are merged per query.
 
 In tens of dimensions with no dominant one the bound falls late and most rows of a
-block are met; the result is exact all the same. Rows whose id or vector is null,
-whose vector is empty or holds null or non-finite components take no part; vectors
-of another length than the query's are not compared; rows with the query's own id
-are no candidates; repeated rows count each. Other columns are not read.
+block are met; the result is exact all the same. The sorted lists of a block are
+built once, in one task, and all queries stream past them.
+
+Rows whose id or vector is null, whose vector is empty or holds null or non-finite
+components take no part; vectors of another length than the query's are not
+compared; rows with the query's own id are no candidates; repeated candidate rows
+count each. Equal query rows are one query; unlike query rows of one id pool their
+candidates, one entry for each of them. Ties go to the smaller id. There are no
+texts; other columns are not read; an empty table of either gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import importable
 
-#: Rows of a block of vectors, and of a block of queries.
-BLOCK, QUERIES = 2048, 1024
+#: Rows of a block of vectors at most, and of a block of queries.
+BLOCK, QUERIES = 16_384, 1024
 
 
 def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -37,9 +42,8 @@ def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """One row ``(dims, block, ids, values)`` for each block of about ``size`` vectors of one length."""
-    count = max(1, -(-rows.count() // size))
+def _blocks(rows: DataFrame, count: int) -> DataFrame:
+    """One row ``(dims, block, ids, values)`` for each of ``count`` blocks and each length of vectors."""
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -58,7 +62,6 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
         dealt.withColumn("dims", F.size("values"))
         .groupBy("dims", "block")
         .applyInArrow(gather, "dims int, block int, ids binary, values binary")
-        .selectExpr("dims", f"block AS {name}", f"ids AS {name}_ids", f"values AS {name}_values")
     )
 
 
@@ -68,7 +71,7 @@ class Lists:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.n = ids, len(ids)
         self.values = values
-        self.up = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable"))
+        self.up = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").astype(np.int32))
         self.low = np.take_along_axis(values, self.up, 0)
         self.widest = int(np.abs(values).max(initial=0))
 
@@ -115,24 +118,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     Scores are inner products of the integer components, which must stay below 2**63.
     """
     importable(vectors.sparkSession)
-    v, q = _blocks(vectors, block, "v"), _blocks(queries, query_block, "q")
-    count = max(1, -(-vectors.count() // block))
-    q = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    queries = queries.select("vec_id", "values").distinct()
+    n = vectors.count()
+    # Small tables are cut into as many blocks as there are tasks at once, if that leaves 512 rows to each.
+    count = max(1, -(-n // block), min(vectors.sparkSession.sparkContext.defaultParallelism, n // 512))
+    q = _blocks(queries, max(1, -(-queries.count() // query_block))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    both = _blocks(vectors, count).withColumn("kind", F.lit(0)).unionByName(q.withColumn("kind", F.lit(1)))
+    met = both.repartition(count, "dims", "block").sortWithinPartitions("dims", "block", "kind")
 
     def search(batches):
+        at, lists = None, None
         for batch in batches:
-            for dims, v_ids, v_values, q_ids, q_values in zip(*(batch.column(c).to_pylist() for c in ("dims", "v_ids", "v_values", "q_ids", "q_values"))):
-                lists = Lists(np.frombuffer(v_ids, "<i8"), np.frombuffer(v_values, "<i8").reshape(-1, dims))
-                found = [(i, *lists.best(x, i, k)) for i, x in zip(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_values, "<i8").reshape(-1, dims))]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": np.repeat([i for i, _, _ in found], [len(x) for _, x, _ in found]).astype(np.int64),
-                        "vec_id": np.concatenate([x for _, x, _ in found]),
-                        "score": np.concatenate([s for _, _, s in found]),
-                    }
-                )
-
-    met = q.hint("merge").join(v.hint("merge"), ["dims", "v"])
-    best = met.select("dims", "v_ids", "v_values", "q_ids", "q_values").mapInArrow(search, "query_id long, vec_id long, score long")
+            for dims, block, kind, ids, values in zip(*(batch.column(c).to_pylist() for c in ("dims", "block", "kind", "ids", "values"))):
+                ids, values = np.frombuffer(ids, "<i8"), np.frombuffer(values, "<i8").reshape(-1, dims)
+                if not kind:
+                    at, lists = (dims, block), Lists(ids, values)
+                elif at == (dims, block):
+                    found = [(i, *lists.best(x, i, k)) for i, x in zip(ids, values)]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "query_id": np.repeat([i for i, _, _ in found], [len(x) for _, x, _ in found]).astype(np.int64),
+                            "vec_id": np.concatenate([x for _, x, _ in found]),
+                            "score": np.concatenate([s for _, _, s in found]),
+                        }
+                    )
+
+    best = met.select("dims", "block", "kind", "ids", "values").mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
