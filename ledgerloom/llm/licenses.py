@@ -7,7 +7,9 @@ order. A rule whose sequence lies within that of another matched rule is dropped
 so the longest reading wins. No row leaves its task: there is no shuffle.
 
 Null and empty texts have no sentences; null ids are kept; repeated rows are
-scanned each; an empty table gives an empty result; other columns are not read.
+scanned each; sentences of one position do not occur, so there are no ties; very
+long texts are cut whole in their row; an empty table gives an empty result; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 
 # Licence sentences as they are normalised, by identifier.
 SENTENCES = {
-    "apache2-grant": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "this project is licensed under the apache license version 2 0"],
+    "apache2-grant": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "this project is licensed under the apache license version 2 0"],
     "apache2-comply": ["you may not use this file except in compliance with the license"],
-    "apache2-copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0"],
+    "apache2-copy": ["you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0"],
     "as-is": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
     "mit-release": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
@@ -32,6 +34,16 @@ SENTENCES = {
     "bsd-redistribute": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
+    "gpl2-redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl2-work": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
+    "lgpl21-redistribute": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl-warranty": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "agpl3-redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "mpl2-form": ["this source code form is subject to the terms of the mozilla public license v", "this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "unlicense-domain": ["this is free and unencumbered software released into the public domain"],
+    "zlib-as-is": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
     "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
 }
 
@@ -39,9 +51,18 @@ SENTENCES = {
 RULES = [
     ("Apache-2.0", ["apache2-grant"]),
     ("Apache-2.0", ["apache2-grant", "apache2-comply", "apache2-copy", "as-is"]),
+    ("Apache-2.0", ["apache2-grant", "apache2-copy", "as-is"]),
     ("MIT", ["mit-release"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("GPL-3.0-only", ["gpl3-work"]),
+    ("GPL-2.0-only", ["gpl2-work"]),
+    ("GPL-2.0-or-later", ["gpl2-redistribute", "gpl-warranty"]),
+    ("LGPL-2.1-or-later", ["lgpl21-redistribute", "lgpl-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl3-redistribute", "gpl-warranty"]),
+    ("MPL-2.0", ["mpl2-form"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-domain"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
     ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-warranty"]),
     ("CC-BY-NC-4.0", ["cc-by-nc4"]),
     ("CC-BY-4.0", ["cc-by4"]),
@@ -50,7 +71,7 @@ RULES = [
 ]
 
 #: Every known sentence holds one of these.
-CUES = "licen[sc]e|redistribut|permission|program|mit |gnu |cc by|warrant"
+CUES = "licen[sc]e|redistribut|permission|program|mit |gnu |cc by|warrant|unencumbered"
 #: Where a sentence ends: at a full stop, question or exclamation mark before white space, or at a line's end.
 BREAK = "[.!?]+[ \\t\\r]+|[.!?]*[ \\t\\r]*\\n[ \\t\\r\\n]*"
 
