@@ -14,11 +14,14 @@ words if three quarters of its letter pairs are common in words, as fewer than o
 in fifty random runs of 16 letters have.
 
 Null texts are empty and have no spans; null ids are kept; repeated rows are
-scanned each; an empty table gives an empty result; other columns are not read.
+scanned each; spans that begin together stand in the order of their kinds; very long
+texts are scanned whole, in a step of their own; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -121,13 +124,20 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         spans = self.base(text)
-        found = sorted((s, e) for _, s, e in spans)
+        starts, ends = [], []  # what the fixed patterns hold, as ranges that do not overlap
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if ends and s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
         for m in self.candidate.finditer(text):
             if self.allow.fullmatch(m[0]) or (WORDY.fullmatch(m[0]) and words_like(m[0])):
                 continue
             for s, e in self.dense(m[0]):
                 s, e = s + m.start(), e + m.start()
-                if not any(a < e and s < b for a, b in found):
+                before = bisect.bisect_left(starts, e)
+                if not before or ends[before - 1] <= s:
                     spans.append(("entropy", s, e))
         return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
