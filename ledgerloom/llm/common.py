@@ -13,12 +13,15 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one step of an Arrow operator holds at a time; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
 _local_dir: str | None = None
+#: Tables of :func:`materialize` that are still there, by path.
+_stored: dict[str, SparkSession] = {}
 
 
 def importable(spark: SparkSession) -> None:
@@ -45,21 +48,60 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors cost one scan, and sizes are known."""
+    """Write ``df`` to the shared folder and read it back: lost executors cost one scan, and sizes are known.
+
+    A table that no later plan reads is deleted by :func:`discard`, the others when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(_clear)
+    _stored[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path  # for discard()
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` that no later plan reads."""
-    spark, path = df.sparkSession, getattr(df, "_ledgerloom_path", None)
-    if path:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_ledgerloom_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    _stored.pop(path, None)
+
+
+def _clear() -> None:
+    """Delete what is left at the driver's end; without its JVM the folder's owner has to."""
+    for path, spark in list(_stored.items()):
+        try:
+            _delete(spark, path)
+        except Exception:
+            return
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, by: str, salts: int = 32) -> DataFrame:
+    """Inner join of ``many`` with ``few``, whose ``key`` is unique, with each key's rows dealt over up to ``salts`` tasks.
+
+    Rows are dealt by a hash of ``by``; a row of ``few`` is sent once for each salt that occurs with its key.
+    """
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = dealt.select(key, "_salt").distinct().hint("merge").join(few.hint("merge"), key)
+    return dealt.hint("merge").join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

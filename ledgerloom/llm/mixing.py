@@ -16,8 +16,9 @@ keep rates apart where the targets do not.
 Null and empty texts have no tokens, the prior as posterior, and a rate that no target
 depends on. Labelled rows whose id or label is null are not used; an id with several
 domains counts for each. Without labels posteriors are even. Null ids are kept,
-repeated rows are rated each, an empty table gives an empty result, and other columns
-are not read.
+repeated rows are rated each, rows of one posterior get one rate, very long texts are
+counted whole, an empty table gives an empty result, and other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: Hash buckets of the classifier: the bound of its table.
 BUCKETS = 1 << 16
@@ -131,9 +132,10 @@ def repeated(docs: DataFrame, rated: DataFrame, seed: int = 7) -> DataFrame:
 
     The chance is a hash of the id, so runs agree. Rows of an id share its mean rate; null ids stay once.
     """
-    rate = rated.groupBy("doc_id").agg(F.avg("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
-    joined = docs.hint("merge").join(rate.hint("merge"), docs["doc_id"] == F.col("_id"), "left")
+    own, rate, times = (fresh(docs, n) for n in ("_id", "_rate", "_times"))
+    rates = rated.groupBy(F.col("doc_id").alias(own)).agg(F.avg("rate").alias(rate))
+    joined = docs.hint("merge").join(rates.hint("merge"), docs["doc_id"] == F.col(own), "left")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = F.coalesce(F.floor(F.col("_rate") + draw).cast("int"), F.lit(1))
-    again = joined.withColumn("_times", times).where("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    wanted = F.coalesce(F.floor(F.col(rate) + draw).cast("int"), F.lit(1))
+    again = joined.withColumn(times, wanted).where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return again.select(*[docs[c] for c in docs.columns])
