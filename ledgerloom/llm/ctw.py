@@ -1,26 +1,29 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-Each byte is eight binary decisions; a decision has a context tree over the bytes
-before it, up to ``depth`` of them. Every node keeps the counts of its decisions in
-the training texts, their Krichevsky-Trofimov estimate, and the weighted probability
-
-    log Pw = log(1/2 KT(node) + 1/2 prod Pw(children)),
-
-computed level by level with aggregates, so the tree is a distributed table of any
-size. A decision is predicted by mixing the KT estimates of all depths along its
-path with the weights 1/2 KT / Pw that the tree gives; of what a node passes on, a child
-with n decisions in training takes n / (n + ``doubt``), and the node's own estimate the
-rest, so unseen contexts fall back. The model is fixed while texts are scored. Texts begin after a context of zero bytes.
-
-No model is broadcast. A first pass reduces each input partition (a chunk) to the
-distinct byte runs and words in it; those are joined with the model by shuffles, and
-each chunk's texts meet only the entries that they use. Words serve the unigram base
-and are matched by 63-bit hashes.
-
-Null and empty texts are scored as empty: one end token, code length 0. Rows whose id
-is null are held out of training and scored. Repeated rows count each; an empty table
-gives an empty result; other columns are not read. The input must be a scan, or another
-plan whose partitions are the same each time it runs; a mismatch raises an error.
+Texts have A-Z in lower case and end with the byte 0xFF, which no text holds; they begin after a context of bytes
+0xFE. Each byte is eight binary decisions; a decision has a context tree over the bytes before it, up to ``depth`` of
+them. Every node keeps the counts of its decisions in the training texts, their Krichevsky-Trofimov estimate KT, and
+the weighted probability
+
+    Pw = 1/2 KT(node) + 1/2 prod Pw(children),        Pw = KT at the deepest level.
+
+The probability of a decision in a text is Pw with it over Pw without it: along its path, from the deepest node up,
+
+    p = w KT' + (1 - w) p(child),        w = 1/2 KT / Pw,
+
+with KT' = (b + 1/2) / (a + b + 1) the estimate of a 1 after a zeros and b ones. An unseen node gives 1/2. That is the
+exact mixture over all prunings of the tree; the model is fixed while texts are scored. ``score`` is the sum of the
+log10 probabilities of a text's bytes and its end, so it is the probability of the whole text, as ``base_score`` is.
+
+The tree is a distributed table of any size, and no model is broadcast or collected. A first pass cuts the input into
+chunks of about ``CHUNK_BYTES`` of text, stores each chunk's texts beside its distinct byte runs and words, and counts
+those of the training texts. Runs that agree in the ``HEAD`` bytes before the last form one subtree; subtrees are
+dealt over tasks, which read them in slices and work on arrays. The levels above are aggregates over the subtrees'
+roots. Each chunk then meets the entries that it uses. Words serve the unigram base and are matched by 63-bit hashes.
+
+Null and empty texts are scored as an end alone. Rows whose id is null are scored as well; where ``trains`` is null a
+row is held out. Ties do not occur, for every row has its own result; repeated rows count each. A very long text is a
+chunk of its own, whole. An empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,25 +33,36 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, importable, materialize, steps
+from .common import discard, importable, materialize, salted_join, steps
 
-#: Bytes of context, and how many decisions make a child worth half of its parent's trust.
-DEPTH, DOUBT = 4, 3.0
+#: Bytes of context; of these, the bytes that deal subtrees over tasks.
+DEPTH, HEAD = 5, 3
+#: Text bytes of a chunk, and byte runs of a slice of subtrees.
+CHUNK_BYTES, SLICE = 16 << 20, 400_000
+START, END = b"\xfe", b"\xff"
 _SIGN = 1 << 63
+_SMALL = 1 << 16
+_HALF = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_SMALL) + 0.5))])
+_WHOLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_SMALL) + 1.0))])
 
 
 def words_of(raw: bytes) -> list[bytes]:
-    """Words between ASCII white space, with A-Z in lower case."""
-    return raw.lower().split()
+    """Words between ASCII white space of a text in lower case."""
+    return raw.split()
+
+
+def raw_of(text: str | None) -> bytes:
+    """UTF-8 with A-Z in lower case."""
+    return (text or "").encode().lower()
 
 
 def runs(raws: list[bytes], depth: int) -> np.ndarray:
-    """For each byte, the number whose last byte it is and whose other bytes are the ``depth`` bytes before it."""
-    data = np.frombuffer(b"".join(bytes(depth) + r for r in raws), np.uint8)
-    sizes = np.fromiter((len(r) + depth for r in raws), np.int64, len(raws))
+    """For each byte and each end, the number whose last byte it is and whose other bytes are the ``depth`` before it."""
+    data = np.frombuffer(b"".join(START * depth + r + END for r in raws), np.uint8)
+    sizes = np.fromiter((len(r) + 1 + depth for r in raws), np.int64, len(raws))
     out = np.zeros(max(len(data) - depth, 0), np.int64)
     for i in range(depth + 1):
         out = (out << 8) | data[i : len(data) - depth + i]
@@ -67,156 +81,256 @@ def word_key(word: bytes) -> int:
     return (xxh64_intdigest(word) | _SIGN) - (1 << 64)
 
 
-class Gathered:
-    """Numbers with counts, merged now and then."""
+class Chunk:
+    """Texts of one chunk, and what they hold: byte runs and words with their counts in training."""
+
+    def __init__(self, number: int, depth: int):
+        self.number, self.depth, self.size = number, depth, 0
+        self.texts, self.keys, self.counts, self.words = [], [], [], Counter()
+
+    def add(self, table: pa.RecordBatch) -> None:
+        raws = [raw_of(t) for t in table.column("text").to_pylist()]
+        trains = table.column("trains").to_pylist()
+        for own in (True, False):
+            part = [r for r, t in zip(raws, trains) if t == own]
+            keys, counts = np.unique(runs(part, self.depth), return_counts=True)
+            self.keys.append(keys)
+            self.counts.append(counts if own else np.zeros(len(keys), np.int64))
+            for r in part:
+                if own:
+                    self.words.update(words_of(r))
+                else:
+                    self.words.update(dict.fromkeys(words_of(r), 0))
+        self.texts.append(table)
+        self.size += sum(map(len, raws))
+
+    def batches(self):
+        for table in self.texts:
+            n = len(table)
+            yield self._batch(n, doc_id=table.column("doc_id"), trains=table.column("trains"), text=table.column("text"))
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        counts = np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)
+        words = np.fromiter(map(word_key, self.words), np.int64, len(self.words))
+        keys, counts = np.concatenate([keys, words]), np.concatenate([counts, np.fromiter(self.words.values(), np.int64, len(words))])
+        for a in range(0, len(keys), 100_000):
+            yield self._batch(len(keys[a : a + 100_000]), key=pa.array(keys[a : a + 100_000]), n=pa.array(counts[a : a + 100_000]))
+
+    def _batch(self, size: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"chunk": pa.int64(), "key": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "trains": pa.bool_(), "text": pa.string()}
+        columns["chunk"] = pa.array(np.full(size, self.number, np.int64))
+        return pa.RecordBatch.from_arrays([columns[c].cast(k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
+
+
+def gather(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
+    """``(chunk, key, n, doc_id, trains, text)``: a row for each text, with a null key, and one for each byte run (key 0
+    or more) and word (key below 0) of a chunk, with its count in training."""
+    given = docs.select(
+        F.spark_partition_id().cast("long").alias("part"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"),
+    )
 
-    def __init__(self):
-        self.parts, self.held = [], 0
+    def run(batches):
+        chunk = None
+        for batch in steps(batches, "text"):
+            if chunk is None:
+                chunk = Chunk(batch.column("part")[0].as_py() << 32, depth)
+            chunk.add(batch)
+            if chunk.size >= CHUNK_BYTES:
+                yield from chunk.batches()
+                chunk = Chunk(chunk.number + 1, depth)
+        if chunk is not None and chunk.texts:
+            yield from chunk.batches()
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        self.held += len(keys)
-        if self.held > 4_000_000 and len(self.parts) > 1:
-            self.parts = [self.merged()]
-            self.held = len(self.parts[0][0])
+    return given.mapInArrow(run, "chunk long, key long, n long, doc_id long, trains boolean, text string")
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, counts = (np.concatenate(x) for x in zip(*self.parts))
-        keys, at = np.unique(keys, return_inverse=True)
-        return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
 
-def _input(docs: DataFrame, trains: Column) -> DataFrame:
-    return docs.select(
-        F.spark_partition_id().alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"),
-    )
 
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Natural log of the Krichevsky-Trofimov probability of any sequence of a zeros and b ones."""
 
-def gather(docs: DataFrame, depth: int) -> DataFrame:
-    """``(chunk, key, n)``: byte runs (key 0 or more) and words (key below 0) of each chunk, with training counts."""
+    def part(n: np.ndarray, table: np.ndarray, add: float, less: float) -> np.ndarray:
+        out = table[np.minimum(n, _SMALL)]
+        far = n > _SMALL
+        if far.any():
+            out = np.where(far, _log_gamma(np.maximum(n, 1) + add) - less, out)
+        return out
+
+    half = math.lgamma(0.5)
+    return part(a, _HALF, 0.5, half) + part(b, _HALF, 0.5, half) - part(a + b, _WHOLE, 1.0, 0.0)
+
+
+def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int, head: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """All levels from ``depth`` to ``head`` over distinct sorted byte runs, which hold whole subtrees.
+
+    Gives for each of the eight decisions of each run the node at ``head`` and the weighted probability there of a 1,
+    and the nodes at ``head`` as ``(nodes, a, b, log Pw)`` for each decision.
+    """
+    levels, places = [(keys, counts)], [np.arange(len(keys))]
+    for d in range(depth - 1, head - 1, -1):
+        above, up = np.unique(levels[-1][0] & ((1 << (8 * d + 8)) - 1), return_inverse=True)
+        levels.append((above, np.bincount(up, levels[-1][1], len(above)).astype(np.int64)))
+        places.append(up)
+    at_head, ones, roots = np.empty((len(keys), 8), np.int64), np.empty((len(keys), 8)), []
+    for k in range(8):
+        pw = None
+        for i, (names, n) in enumerate(levels):
+            prefix = names >> (8 - k)
+            begin = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+            group = np.zeros(len(names), np.int64)
+            group[begin[1:]] = 1
+            group = np.cumsum(group)
+            bit = (names >> (7 - k)) & 1
+            b = np.add.reduceat(n * bit, begin)
+            a = np.add.reduceat(n, begin) - b
+            kt, one = log_kt(a, b), (b + 0.5) / (a + b + 1.0)
+            if i == 0:
+                pw, p, to, below = kt, one[group], np.arange(len(keys)), group
+            else:
+                to = places[i][to]
+                # A node's children: the groups of the level below, each by any of its runs.
+                first = np.flatnonzero(np.append(True, below[1:] != below[:-1]))
+                kids = np.bincount(group[places[i][first]], pw, len(begin))
+                own = 1.0 / (1.0 + np.exp(np.minimum(kids - kt, 700.0)))
+                pw = math.log(0.5) + np.logaddexp(kt, kids)
+                here = group[to]
+                p = own[here] * one[here] + (1 - own[here]) * p
+                below = group
+        nodes = ((names[begin] >> 8) << 8) | (1 << k) | ((names[begin] & 255) >> (8 - k))
+        roots.append((nodes, a, b, pw))
+        at_head[:, k], ones[:, k] = nodes[group[to]], p
+    return at_head, ones, roots
+
+
+def _dealt(rows: DataFrame, n_runs: int) -> DataFrame:
+    """Rows dealt by their column ``head`` and sorted by it and ``kind``."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_runs // 2_000_000))
+    return rows.repartition(parts, "head").sortWithinPartitions("head", "kind", "key")
+
+
+def _slices(batches, size: int = SLICE):
+    """Tables that hold whole heads, of about ``size`` rows or one head."""
+    held, n = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        n += len(batch)
+        if n < size:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        heads = table.column("head").to_numpy()
+        cut = int(np.searchsorted(heads_rank(heads), heads_rank(heads)[-1], side="left"))
+        if cut:
+            yield table.slice(0, cut)
+        held, n = table.slice(cut).to_batches(), len(table) - cut
+        size = max(SLICE, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def heads_rank(heads: np.ndarray) -> np.ndarray:
+    """Running number of a sorted column's values."""
+    return np.cumsum(np.append(0, heads[1:] != heads[:-1]))
+
+
+def log_kt_column(a: Column, b: Column) -> Column:
+    """:func:`log_kt` as a column, by Stirling's series after a shift by 8."""
+
+    def log_gamma(x: Column) -> Column:
+        shifted, product = x + 8, x
+        for i in range(1, 8):
+            product = product * (x + i)
+        inverse = F.lit(1.0) / shifted
+        series = inverse / 12 - F.pow(inverse, 3) / 360 + F.pow(inverse, 5) / 1260
+        return (shifted - 0.5) * F.log(shifted) - shifted + 0.5 * math.log(2 * math.pi) + series - F.log(product)
 
-    def run(batches):
-        chunk, seen, texts = None, Gathered(), Counter()
-        for batch in steps(batches, "text"):
-            chunk = batch.column("chunk")[0].as_py()
-            raws = [t.encode() for t in batch.column("text").to_pylist()]
-            trains = batch.column("trains").to_pylist()
-            for own in (True, False):
-                part = [r for r, t in zip(raws, trains) if t == own]
-                keys, counts = np.unique(runs(part, depth), return_counts=True)
-                seen.add(keys, counts if own else np.zeros(len(keys), np.int64))
-                words = Counter()
-                for r in part:
-                    words.update(words_of(r))
-                if not own:
-                    words = dict.fromkeys(words, 0)
-                texts.update(words)
-                if len(texts) > 1_000_000:
-                    seen.add(np.fromiter(map(word_key, texts), np.int64, len(texts)), np.fromiter(texts.values(), np.int64, len(texts)))
-                    texts = Counter()
-        if chunk is not None:
-            seen.add(np.fromiter(map(word_key, texts), np.int64, len(texts)), np.fromiter(texts.values(), np.int64, len(texts)))
-            keys, counts = seen.merged()
-            for at in range(0, len(keys), 100_000):
-                part = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_pydict({"chunk": np.full(len(part), chunk, np.int32), "key": part, "n": counts[at : at + 100_000]})
-
-    return docs.mapInArrow(run, "chunk int, key long, n long")
-
-
-def log_gamma(x: Column) -> Column:
-    """Stirling's series after a shift by 8, for x of a half or more."""
-    shifted, product = x + 8, x
-    for i in range(1, 8):
-        product = product * (x + i)
-    inverse = F.lit(1.0) / shifted
-    series = inverse / 12 - F.pow(inverse, 3) / 360 + F.pow(inverse, 5) / 1260
-    return (shifted - 0.5) * F.log(shifted) - shifted + 0.5 * math.log(2 * math.pi) + series - F.log(product)
-
-
-def log_kt(a: Column, b: Column) -> Column:
-    """Natural log of the Krichevsky-Trofimov probability of any sequence of a zeros and b ones."""
     estimate = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - math.log(math.pi)
     return F.when(a + b == 0, F.lit(0.0)).otherwise(estimate)
 
 
-def _decisions(grams: DataFrame) -> DataFrame:
-    """Eight rows ``(gram, n, node, bit)`` for each byte run; a node is context and the byte's bits so far, after a 1."""
-    byte, context = F.col("key").bitwiseAND(F.lit(255)), F.shiftrightunsigned("key", 8)
-    return grams.select("key", "n", F.explode(F.array(*[
-        F.struct(
-            (F.shiftleft(context, 8) + F.lit(1 << k) + F.shiftrightunsigned(byte, 8 - k)).alias("node"),
-            F.shiftrightunsigned(byte, 7 - k).bitwiseAND(F.lit(1)).cast("int").alias("bit"),
-        ) for k in range(8)
-    ])).alias("d")).select("key", "n", "d.node", "d.bit")
-
-
-def tree(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """Stored tables ``(node, a, b, own)`` for depths 0 to ``depth``: counts, and the weight of the node's estimate."""
-    n = F.col("n")
-    nodes = _decisions(grams).groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, n).otherwise(0)).alias("a"), F.sum(F.when(F.col("bit") == 1, n).otherwise(0)).alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    level = materialize(nodes.withColumn("pw", log_kt(a, b)).withColumn("own", F.lit(1.0)), f"tree-{depth}")
-    levels = [level]
-    for d in range(depth - 1, -1, -1):
+def upper(roots: DataFrame, head: int) -> DataFrame:
+    """``(node, sum, rest)`` for each root ``(node, a, b, pw)``: a 1 has the probability sum + rest * that of the root."""
+    levels, level = [], roots
+    for d in range(head - 1, -1, -1):
         mask = (1 << (8 * d + 8)) - 1
         up = level.groupBy(F.col("node").bitwiseAND(F.lit(mask)).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("kids"))
-        up = up.withColumn("kt", log_kt(a, b))
+        up = up.withColumn("kt", log_kt_column(F.col("a").cast("double"), F.col("b").cast("double")))
         most = F.greatest("kt", "kids")
         both = math.log(0.5) + most + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("kids"))))
         own = F.lit(1.0) / (1.0 + F.exp(F.least(F.col("kids") - F.col("kt"), F.lit(700.0))))
         level = materialize(up.select("node", "a", "b", both.alias("pw"), own.alias("own")), f"tree-{d}")
-        levels.append(level)
-    return levels[::-1]
-
-
-def predictions(levels: list[DataFrame], depth: int, doubt: float = DOUBT) -> DataFrame:
-    """``(node, one)``: the mixed probability of a 1 at each node of the deepest level."""
+        levels.insert(0, level)
     kt = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
-    now = levels[0].select("node", (F.col("own") * kt).alias("sum"), (1 - F.col("own")).alias("rest"), kt.alias("last"))
-    for d in range(1, depth + 1):
-        mask = (1 << (8 * d)) - 1
-        above = now.select(F.col("node").alias("above"), F.col("sum").alias("s"), F.col("rest").alias("r"), "last")
-        # Node numbers of the level above keep the low bytes of the context; the top byte is dropped.
-        here = levels[d].withColumn("above", F.col("node").bitwiseAND(F.lit(mask)))
-        met = here.hint("merge").join(above.hint("merge"), "above")
-        n = F.col("a") + F.col("b")
-        trust = n / (n + F.lit(doubt))
-        last = F.when(n > 0, kt).otherwise(F.col("last"))
-        now = met.select(
-            "node", (F.col("s") + F.col("r") * ((1 - trust) * F.col("last") + trust * F.col("own") * last)).alias("sum"),
-            (F.col("r") * trust * (1 - F.col("own"))).alias("rest"), last.alias("last"),
-        )
-        if d < depth:
-            now = materialize(now, f"mixed-{d}")
-    return now.select("node", F.col("sum").alias("one"))
-
-
-def score(docs: DataFrame, trains: Column, depth: int = DEPTH, doubt: float = DOUBT) -> DataFrame:
+    now = levels[0].select("node", (F.col("own") * kt).alias("sum"), (1 - F.col("own")).alias("rest")) if levels else roots.select("node", F.lit(0.0).alias("sum"), F.lit(1.0).alias("rest"))
+    for d in range(1, head + 1):
+        # Node numbers of the level above keep the low bytes of the context.
+        here = (levels[d] if d < head else roots).withColumn("above", F.col("node").bitwiseAND(F.lit((1 << (8 * d)) - 1)))
+        met = here.hint("merge").join(now.select(F.col("node").alias("above"), F.col("sum").alias("s"), F.col("rest").alias("r")).hint("merge"), "above")
+        own = F.col("own") if d < head else F.lit(0.0)
+        now = met.select("node", (F.col("s") + F.col("r") * own * kt).alias("sum"), (F.col("r") * (1 - own)).alias("rest"))
+    now = materialize(now, "upper")
+    discard(*levels)
+    return now
+
+
+def costs(grams: DataFrame, depth: int, head: int) -> DataFrame:
+    """``(key, value)``: the log10 probability of each of ``grams(key, n)``: its last byte after the others."""
+    n_runs = grams.count()
+    low = (1 << (8 * head)) - 1
+    mine = grams.select(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(low)).alias("head"), F.lit(1).alias("kind"), "key", "n", F.lit(None).cast("double").alias("sum"), F.lit(None).cast("double").alias("rest"))
+
+    def tops(batches):
+        for table in _slices(batches):
+            keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+            order = np.argsort(keys)
+            for nodes, a, b, pw in subtrees(keys[order], n[order], depth, head)[2]:
+                yield pa.RecordBatch.from_pydict({"node": nodes, "a": a, "b": b, "pw": pw})
+
+    roots = materialize(_dealt(mine, n_runs).select("head", "key", "n").mapInArrow(tops, "node long, a long, b long, pw double"), "roots")
+    above = upper(roots, head)
+    discard(roots)
+    heads = above.select(F.shiftrightunsigned("node", 8).alias("head"), F.lit(0).alias("kind"), F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "sum", "rest")
+
+    def whole(batches):
+        for table in _slices(batches):
+            kind, keys = table.column("kind").to_numpy(), table.column("key").to_numpy()
+            tops, own = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            tops = tops[np.argsort(keys[tops])]
+            own = own[np.argsort(keys[own])]
+            sums, rests = (table.column(c).take(pa.array(tops)).to_numpy() for c in ("sum", "rest"))
+            n = table.column("n").take(pa.array(own)).to_numpy().astype(np.int64)
+            at, ones, _ = subtrees(keys[own], n, depth, head)
+            place = np.searchsorted(keys[tops], at)
+            p = sums[place] + rests[place] * ones
+            bits = (keys[own][:, None] >> np.arange(7, -1, -1)) & 1
+            yield pa.RecordBatch.from_pydict({"key": keys[own], "value": np.log10(np.where(bits == 1, p, 1 - p)).sum(1)})
+
+    return _dealt(mine.unionByName(heads), n_runs).mapInArrow(whole, "key long, value double")
+
+
+def score(docs: DataFrame, trains: Column, depth: int = DEPTH, head: int = HEAD) -> DataFrame:
     """Each row's ``(doc_id, trains, n_tokens, n_known, train_tokens, n_bytes, base_score, score)`` in log10.
 
-    ``trains`` says which rows of ``docs(doc_id, text)`` the model learns from; all are scored.
+    ``trains`` says which rows of ``docs(doc_id, text)`` the model learns from; all are scored. ``depth`` is at most 6.
     """
+    if not 0 <= head <= depth <= 6:
+        raise ValueError("depth is at most 6, and head at most depth")
     importable(docs.sparkSession)
-    given = _input(docs, trains)
-    seen = materialize(gather(given, depth), "seen")
-    grams = materialize(seen.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    levels = tree(grams, depth)
-    one = materialize(predictions(levels, depth, doubt), "predicted")
-    p = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    costs = _decisions(grams).hint("merge").join(one.hint("merge"), "node").groupBy("key").agg(F.sum(F.log10(p)).alias("value"))
-    of_runs = seen.where("key >= 0").select("chunk", "key").hint("merge").join(costs.hint("merge"), "key")
-    # A word stands once in each chunk, so a window over a word is no larger than the number of chunks.
-    of_words = seen.where("key < 0").select("chunk", "key", F.sum("n").over(Window.partitionBy("key")).cast("double").alias("value"))
-    entries = materialize(of_runs.select("chunk", "key", "value").unionByName(of_words), "entries")
-    words = seen.where("key < 0").groupBy("key").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    n_train = given.agg(F.count(F.when(F.col("trains"), 1))).first()[0]
-    for x in (seen, grams, one, *levels):
-        discard(x)
-    total, kinds = words["n"] + n_train, words["v"] + (n_train > 0)
+    seen = materialize(gather(docs, trains, depth), "seen")
+    runs_of, words_in = seen.where("key >= 0").select("chunk", "key", "n"), seen.where("key < 0").select("chunk", "key", "n")
+    grams = materialize(runs_of.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    values = costs(grams, depth, head)
+    words = materialize(words_in.groupBy("key").agg(F.sum("n").alias("n")), "words")
+    of_runs = runs_of.select("chunk", "key").hint("merge").join(values.hint("merge"), "key")
+    of_words = salted_join(words_in.select("chunk", "key"), words.select("key", F.col("n").cast("double").alias("value")), "key", "chunk")
+    entries = of_runs.select("chunk", "key", "value").unionByName(of_words.select("chunk", "key", "value"))
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
+    texts = seen.where("key IS NULL").select(F.col("chunk").alias("part"), "doc_id", "trains", "text")
+    n_train = texts.agg(F.count(F.when(F.col("trains"), 1))).first()[0]
+    total, kinds = sums["n"] + n_train, sums["v"] + (n_train > 0)
     floor = math.log10(total + kinds + 1)
     schema = "doc_id long, trains boolean, n_tokens long, n_known long, train_tokens long, n_bytes long, base_score double, score double"
 
@@ -230,16 +344,9 @@ def score(docs: DataFrame, trains: Column, depth: int = DEPTH, doubt: float = DO
         memo: dict[bytes, tuple[int, float]] = {}
         out = {name.split()[0]: [] for name in schema.split(", ")}
         for batch in steps(iter(texts.select(["doc_id", "text", "trains"]).to_batches()), "text"):
-            raws = [t.encode() for t in batch.column("text").to_pylist()]
-            at = runs(raws, depth)
-            if len(at):
-                place = np.minimum(np.searchsorted(run_keys, at), len(run_keys) - 1) if len(run_keys) else None
-                if place is None or not (run_keys[place] == at).all():
-                    raise ValueError("the input's partitions changed between two reads")
-                along = np.concatenate([[0.0], np.cumsum(run_values[place])])
-            else:
-                along = np.zeros(1)
-            ends = np.cumsum([0, *map(len, raws)])
+            raws = [raw_of(t) for t in batch.column("text").to_pylist()]
+            along = np.concatenate([[0.0], np.cumsum(run_values[np.searchsorted(run_keys, runs(raws, depth))])])
+            ends = np.cumsum([0, *(len(r) + 1 for r in raws)])
             out["score"] += (along[ends[1:]] - along[ends[:-1]]).tolist()
             for raw in raws:
                 known, base, words = int(n_train > 0), math.log10(n_train + 1) - floor, words_of(raw)
@@ -257,8 +364,7 @@ def score(docs: DataFrame, trains: Column, depth: int = DEPTH, doubt: float = DO
             out["doc_id"] += batch.column("doc_id").to_pylist()
             out["trains"] += batch.column("trains").to_pylist()
         out["train_tokens"] = [total] * len(out["doc_id"])
-        fields = (("long", pa.int64()), ("boolean", pa.bool_()), ("double", pa.float64()))
-        kinds_of = {f.split()[0]: dict(fields)[f.split()[1]] for f in schema.split(", ")}
-        return pa.table({k: pa.array(v, kinds_of[k]) for k, v in out.items()})
+        fields = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+        return pa.table({f.split()[0]: pa.array(out[f.split()[0]], fields[f.split()[1]]) for f in schema.split(", ")})
 
-    return given.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(chunk_scores, schema)
+    return texts.groupBy("part").cogroup(entries.groupBy("chunk")).applyInArrow(chunk_scores, schema)
