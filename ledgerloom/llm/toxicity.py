@@ -1,21 +1,22 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded, hash-ordered sample of labelled documents (``examples`` of each class at
-most, a documented parameter; all smaller tables whole) is the example set. Terms
-that go with the label by a chi-square test on the sample are its vocabulary, at
-most ``terms``. Examples are laid out in blocks; for each term and block the index
-holds the postings' weights and their maximum. A document's terms give every block
-an upper bound of its cosines; blocks are scored from the highest bound on, until
-the next bound is below the kth similarity, so the neighbours are the exact ones.
-Neighbours vote by squared similarity, classes weighted back to their share among
-all training labels, with the prior as a small vote of its own; that share is the
-score. The neighbours are the evidence.
-
-Null and empty texts, and texts without a term of the vocabulary, have no
-neighbours and score the prior. Labels: a null label or id is no label, an id
-labelled twice is toxic if any label says so. Without labels every score is 0.
-Repeated rows are scored each; an empty table gives an empty result; other columns
-are not read.
+A bounded, hash-ordered sample of labelled documents (``examples`` of each class at most, a documented parameter; all
+smaller tables whole) is the example set. All of the examples' terms are kept. A term weighs (1 + log count) * idf *
+(1 + lift * g), where idf comes from its documents in the whole corpus and g, from 0 to 1, is how far it goes with a
+label in the sample: a supervised weighting, without which the many common words of long texts drown the few that
+matter. A text's terms that no example holds weigh as the rarest do, and count in its length alone.
+
+Examples are laid out in blocks of like ones. The index is sparse: a term has an entry for each block that holds it,
+with the largest weight there and its postings. A text's terms give every block an upper bound of its cosines; blocks
+are scored from the highest bound on, until the next bound is below the kth similarity, so the neighbours are the
+exact ones. Terms that a quarter of the examples hold have whole rows instead of postings. Neighbours vote with their similarity to the power ``power``, classes weighted back to their share among
+all training labels. A logistic curve, fitted on the examples with each left out of its own neighbours, turns the
+votes' log odds into a calibrated score. The neighbours are the evidence.
+
+Null and empty texts, and texts without a term of any example, have no neighbours and score the prior. Labels: a null
+label or id is no label, an id labelled twice is toxic if any label says so. Without labels every score is 0. Equal
+similarities go to the smaller id. Repeated rows are scored each; very long texts are scored whole, in steps of their
+own; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, map_steps
+from .common import discard, importable, map_steps, materialize
 
 #: Bytes that stay in terms: ASCII letters and all of other scripts.
 LETTERS = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -38,8 +39,13 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(LETTERS).split()
 
 
+def _times(row: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Product in the task's own thread; a linear algebra library would start threads in every task."""
+    return np.einsum("i,ij->j", row, matrix)
+
+
 class BlockMax:
-    """Block-max inverted index over example vectors of unit length."""
+    """Sparse block-max inverted index over example vectors of unit length."""
 
     def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int], n_terms: int, block: int = 64):
         # Examples of like terms stand together, so that a block's maxima are few.
@@ -48,67 +54,141 @@ class BlockMax:
         self.blocks = -(-self.n // block)
         self.labels = np.array([labels[i] for i in order], np.int8)
         self.ids = np.array([ids[i] for i in order], np.int64)
-        self.weights = np.zeros((self.blocks, n_terms, block), np.float32)
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                self.weights[at // block, t, at % block] = w
-        self.most = self.weights.max(2).T.copy() if self.blocks else np.zeros((n_terms, 0), np.float32)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and similarities of the k most similar examples above zero; ties go to the smaller id."""
-        bounds = weights @ self.most[terms]
+        term = np.fromiter((t for i in order for t in vectors[i]), np.int64)
+        place = np.repeat(np.arange(self.n), [len(vectors[i]) for i in order]).astype(np.int64)
+        weight = np.fromiter((w for i in order for w in vectors[i].values()), np.float64)
+        spread = np.bincount(term, minlength=n_terms) * 4 >= max(self.n, 1)
+        #: Terms of a quarter of the examples and more have whole rows: their weights, and the largest of each block.
+        self.row = np.where(spread, np.cumsum(spread) - 1, -1)
+        self.dense = np.zeros((int(spread.sum()), self.blocks * block))
+        own = spread[term]
+        self.dense[self.row[term[own]], place[own]] = weight[own]
+        self.dense_most = self.dense.reshape(len(self.dense), self.blocks, block).max(2) if self.blocks else np.zeros((len(self.dense), 0))
+        term, place, weight = term[~own], place[~own], weight[~own]
+        by = np.lexsort((place, term))
+        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by]
+        key = term * max(self.blocks, 1) + self.place // block
+        #: Entries of the others, one for each term and block: the block, the largest weight, and where the postings begin.
+        self.begin = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else [], len(key)).astype(np.int64)
+        self.most = np.maximum.reduceat(self.weight, self.begin[:-1]) if len(key) else np.zeros(0)
+        self.at = (key[self.begin[:-1]] % max(self.blocks, 1)).astype(np.int32)
+        self.of = np.searchsorted(term[self.begin[:-1]], np.arange(n_terms + 1))
+
+    @staticmethod
+    def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of the ranges, and which range each is of."""
+        sizes = end - begin
+        which = np.repeat(np.arange(len(sizes)), sizes)
+        return np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[which], which
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and similarities of the k most similar examples above zero, but not of id ``but``; ties go to the smaller id."""
+        rows = self.row[terms]
+        common, rows = weights[rows >= 0], rows[rows >= 0]
+        entries, which = self._spread(self.of[terms], self.of[terms + 1])
+        heavy = weights[which]
+        bounds = np.bincount(self.at[entries], heavy * self.most[entries], self.blocks) + _times(common, self.dense_most[rows])
         order = np.argsort(-bounds, kind="stable")
-        sims, places, kth = [], [], 0.0
-        held = 0
-        for b in order.tolist():
-            # Rounding of single precision stays within the margin.
-            if bounds[b] <= 0 or (held >= k and bounds[b] < kth - 1e-5):
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        by = np.argsort(rank[self.at[entries]], kind="stable")
+        entries, heavy = entries[by], heavy[by]
+        ends = np.searchsorted(rank[self.at[entries]], np.arange(self.blocks + 1))
+        sims, places, kth, held, done, step = [], [], 0.0, 0, 0, 8
+        while done < self.blocks:
+            # Rounding stays within the margin.
+            if bounds[order[done]] <= 0 or (held >= k and bounds[order[done]] < kth - 1e-9):
                 break
-            s = weights @ self.weights[b, terms]
-            hit = np.flatnonzero(s > 0 if held < k else s >= kth - 1e-5)
+            to = min(done + step, self.blocks)
+            some = entries[ends[done] : ends[to]]
+            posts, whose = self._spread(self.begin[some], self.begin[some + 1])
+            slot = rank[self.place[posts] // self.block] * self.block + self.place[posts] % self.block - done * self.block
+            s = np.bincount(slot, heavy[ends[done] : ends[to]][whose] * self.weight[posts], (to - done) * self.block)
+            columns = (order[done:to, None] * self.block + np.arange(self.block)).ravel()
+            s = s + _times(common, self.dense[rows[:, None], columns])
+            hit = np.flatnonzero(s > 0 if held < k else s >= kth - 1e-9)
+            where = order[done + hit // self.block] * self.block + hit % self.block
+            if but is not None:
+                other = self.ids[where] != but
+                hit, where = hit[other], where[other]
             if len(hit):
                 sims.append(s[hit])
-                places.append(b * self.block + hit)
+                places.append(where)
                 held += len(hit)
                 if held >= k:
                     every = np.concatenate(sims)
                     kth = float(np.partition(every, len(every) - k)[len(every) - k])
+            done, step = to, 2 * step
         if not held:
             return np.zeros(0, int), np.zeros(0)
-        sims, places = np.concatenate(sims).astype(np.float64).round(6), np.concatenate(places)
+        sims, places = np.concatenate(sims).round(9), np.concatenate(places)
         keep = np.lexsort((self.ids[places], -sims))[:k]
         return places[keep], sims[keep]
 
 
 class Model:
-    """Vocabulary, index and class weights; picklable, and bounded by the sample's parameters."""
+    """Vocabulary, index and class weights; picklable, and bounded by the sample's texts."""
 
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, index: BlockMax, prior: float, k: int):
-        self.vocabulary, self.idf, self.index, self.prior, self.k = vocabulary, idf, index, prior, k
+    def __init__(self, vocabulary: dict[bytes, int], weights: np.ndarray, rarest: float, index: BlockMax, prior: float, k: int, power: float):
+        self.vocabulary, self.weights, self.rarest, self.index, self.prior, self.k, self.power = vocabulary, weights, rarest, index, prior, k, power
         share = float(index.labels.mean()) if index.n else 0.0
         self.votes = np.array([(1 - prior) / (1 - share) if share < 1 else 1.0, prior / share if share > 0 else 1.0])
+        self.curve = (0.0, 1.0)
 
     @staticmethod
-    def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * float(idf[t]) for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def score(self, text: str | None, own_vote: float = 0.5) -> tuple[float, list[tuple[int, float, int]]]:
-        """Score, and the evidence as (example's id, similarity, label)."""
-        counts = Counter(t for t in map(self.vocabulary.get, terms_of(text)) if t is not None)
-        vector = self.unit(counts, self.idf)
+    def unit(counts: dict[int, int], weights: np.ndarray, rest: float = 0.0) -> dict[int, float]:
+        """Weights of terms over the vector's length; ``rest`` is the square length of terms of no example."""
+        raw = {t: (1 + math.log(n)) * float(weights[t]) for t, n in sorted(counts.items())}
+        norm = math.sqrt(rest + sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items() if w} if norm else {}
+
+    def odds(self, text: str | None, but: int | None = None) -> tuple[float | None, list[tuple[int, float, int]]]:
+        """Log odds of the votes (none without a neighbour), and the evidence as (example's id, similarity, label)."""
+        words = Counter(terms_of(text))
+        counts = {self.vocabulary[w]: n for w, n in words.items() if w in self.vocabulary}
+        rest = sum(((1 + math.log(n)) * self.rarest) ** 2 for w, n in words.items() if w not in self.vocabulary)
+        vector = self.unit(counts, self.weights, rest)
         if not vector:
-            return self.prior, []
-        places, sims = self.index.nearest(np.fromiter(vector, np.int64), np.fromiter(vector.values(), np.float32), self.k)
+            return None, []
+        places, sims = self.index.nearest(np.fromiter(vector, np.int64), np.fromiter(vector.values(), np.float64), self.k, but)
+        if not len(places):
+            return None, []
         labels = self.index.labels[places]
-        votes = sims**2 * self.votes[labels]
-        score = (float(votes[labels == 1].sum()) + own_vote * self.prior) / (float(votes.sum()) + own_vote)
-        return min(1.0, max(0.0, score)), list(zip(self.index.ids[places].tolist(), sims.tolist(), labels.tolist()))
+        votes = sims**self.power * self.votes[labels]
+        own = 0.05 * votes.sum()
+        share = (votes[labels == 1].sum() + own * self.prior) / (votes.sum() + own)
+        share = min(max(share, 1e-9), 1 - 1e-9)
+        return math.log(share / (1 - share)), list(zip(self.index.ids[places].tolist(), sims.tolist(), labels.tolist()))
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
+        """Score, and the evidence."""
+        odds, evidence = self.odds(text)
+        if odds is None:
+            return self.prior, []
+        a, b = self.curve
+        return 1 / (1 + math.exp(-max(min(a + b * odds, 700.0), -700.0))), evidence
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 1024, terms: int = 4096, least_chi2: float = 24.0, least_docs: int = 5, k: int = 25) -> Model:
-    """Fit on ``labels(doc_id, toxic)`` that have a text in ``docs(doc_id, text)``."""
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Weighted fit of 1 / (1 + exp(-(a + b x))) with a small pull to a = 0, b = 1; b is not below 0."""
+    a, b = 0.0, 1.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -700, 700)))
+        g = np.array([(w * (p - y)).sum() + 0.1 * a, (w * (p - y) * x).sum() + 0.1 * (b - 1)])
+        v = w * p * (1 - p)
+        move = np.linalg.solve(np.array([[v.sum() + 0.1, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.1]]), g)
+        move *= min(1.0, 2.0 / max(np.abs(move).max(), 1e-12))
+        a, b = a - move[0], max(b - move[1], 0.0)
+        if np.abs(move).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 1024, k: int = 25, lift: float = 8.0, power: float = 2.0) -> Model:
+    """Fit on ``labels(doc_id, toxic)`` that have a text in ``docs(doc_id, text)``.
+
+    The driver and each task hold the terms of at most ``2 * examples`` texts; idf counts all of ``docs``.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = known.hint("merge").join(texts.select("doc_id").hint("merge"), "doc_id", "left_semi")
@@ -121,40 +201,75 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 1024, terms: int = 4
         for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect():
             chosen[r["doc_id"]] = y
     if not chosen:
-        return Model({}, np.zeros(0), BlockMax([], [], [], 0), prior, k)
-    sample = texts.where(F.col("doc_id").isin(list(chosen))) if len(chosen) <= 64 else texts.join(
-        F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id"
-    )
+        return Model({}, np.zeros(0), 0.0, BlockMax([], [], [], 0), prior, k, power)
+    spark = docs.sparkSession
+    chosen_ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
+    sample = materialize(texts.join(chosen_ids, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "examples")
 
     def words(batch: pa.RecordBatch):
-        out = {"doc_id": [], "term": [], "n": []}
-        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            for w, n in Counter(terms_of(text)).items():
-                out["doc_id"].append(i)
-                out["term"].append(w)
-                out["n"].append(n)
-        yield out
-
-    counted = map_steps(sample, words, "doc_id long, term binary, n long").groupBy("doc_id", "term").agg(F.max("n").alias("n")).persist()
-    try:
-        with_label = counted.join(F.broadcast(docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, toxic int")), "doc_id")
-        pos, neg = sum(chosen.values()), len(chosen) - sum(chosen.values())
-        a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-        chi2 = F.lit(float(pos + neg)) * F.pow(a * (neg - b) - b * (pos - a), 2) / ((a + b) * (pos + neg - a - b + F.lit(1e-9)) * F.lit(float(max(pos, 1))) * F.lit(float(max(neg, 1))))
-        frequent = with_label.groupBy("term").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where(F.col("pos") + F.col("neg") >= least_docs)
-        best = frequent.withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(terms).collect()
-        vocabulary = {bytes(r["term"]): i for i, r in enumerate(best)}
-        idf = np.array([math.log((1 + len(chosen)) / (1 + r["pos"] + r["neg"])) for r in best])
-        held: dict[int, dict[int, int]] = {i: {} for i in chosen}
-        if vocabulary:
-            kept = counted.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "term binary")), "term")
-            for r in kept.collect():  # at most examples times terms numbers
-                held[r["doc_id"]][vocabulary[bytes(r["term"])]] = r["n"]
-    finally:
-        counted.unpersist()
+        counted = [Counter(terms_of(t)) for t in batch.column("text").to_pylist()]
+        yield {"doc_id": batch.column("doc_id"), "terms": [list(c) for c in counted], "n": [list(c.values()) for c in counted]}
+
+    # One example at a time, as numbers: the driver holds each distinct term once.
+    numbers, held = {}, {}
+    for r in map_steps(sample, words, "doc_id long, terms array<binary>, n array<long>").toLocalIterator():
+        own = np.fromiter((numbers.setdefault(bytes(w), len(numbers)) for w in r["terms"]), np.int32, len(r["terms"]))
+        held[r["doc_id"]] = own, np.array(r["n"], np.int32)
+    vocabulary = {w: i for i, w in enumerate(sorted(numbers))}
+    order = np.fromiter((vocabulary[w] for w in numbers), np.int32, len(numbers))
+    held = {i: (order[own], n) for i, (own, n) in held.items()}
+    del numbers
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def frequencies(batch: pa.RecordBatch):
+        seen, n = Counter(), batch.num_rows
+        for text in batch.column("text").to_pylist():
+            seen.update(filter(None.__ne__, map(shared.value.get, set(terms_of(text)))))
+        yield {"term": [-1, *seen], "n": [n, *seen.values()]}
+
+    # One number for each term of an example comes back.
+    found = dict(map(tuple, map_steps(texts.select("text"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect()))
+    n_docs = found.get(-1, 0)
+    idf = np.log((1 + n_docs) / (1 + np.array([found.get(i, 0) for i in range(len(vocabulary))])))
     ids = sorted(chosen)
-    vectors = [Model.unit(held[i], idf) for i in ids]
-    return Model(vocabulary, idf, BlockMax(vectors, [chosen[i] for i in ids], ids, len(vocabulary)), prior, k)
+    y = np.array([chosen[i] for i in ids])
+    hits = np.zeros((2, len(vocabulary)))
+    for i, own in zip(ids, y):
+        if i in held:
+            hits[own, held[i][0]] += 1
+    weights = idf * (1 + lift * goes_with(hits, y))
+    vectors = [Model.unit(dict(zip(*(x.tolist() for x in held[i]))) if i in held else {}, weights) for i in ids]
+    model = Model(vocabulary, weights, math.log(1 + n_docs), BlockMax(vectors, y.tolist(), ids, len(vocabulary)), prior, k, power)
+    del vectors, held
+    if 0 < y.sum() < len(y):
+        whole = spark.sparkContext.broadcast(model)
+
+        def left_out(batch: pa.RecordBatch):
+            odds = [whole.value.odds(t, but=i)[0] for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
+            yield {"doc_id": batch.column("doc_id"), "odds": odds}
+
+        # Adaptive reading would take the few examples in one task.
+        rows = map_steps(sample.repartition(spark.sparkContext.defaultParallelism), left_out, "doc_id long, odds double").where("odds IS NOT NULL").collect()
+        if rows:
+            label = np.array([chosen[r["doc_id"]] for r in rows])
+            model.curve = logistic(np.array([r["odds"] for r in rows]), label, model.votes[label])
+        whole.destroy()
+    shared.destroy()
+    discard(sample)
+    return model
+
+
+def goes_with(hits: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """From 0 to 1: how far a term, found in ``hits`` examples of each class, goes with a label.
+
+    The chi-square of the term and the label, over what could be chance among as many terms, and not above 1.
+    """
+    pos, neg = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
+    a, b = hits[1], hits[0]
+    n = pos + neg
+    chi2 = n * (a * (neg - b) - b * (pos - a)) ** 2 / np.maximum((a + b) * (n - a - b) * pos * neg, 1e-9)
+    chance = 2 * math.log(max(len(a), 2))
+    return np.clip((chi2 - chance) / chance, 0, 1)
 
 
 def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
