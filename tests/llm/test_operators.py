@@ -353,7 +353,7 @@ def brute_toxicity(rows, labels, text, lift=8.0, power=2.0, k=25):
         return {w: x / norm for w, x in raw.items() if w in weight} if norm else {}
 
     q = unit(terms(text))
-    near = sorted((-round(sum(x * unit(c).get(w, 0) for w, x in q.items()), 9), i) for i, c in known.items())
+    near = sorted((-round(sum(x * u.get(w, 0) for w, x in q.items()), 9), i) for i, u in ((i, unit(c)) for i, c in known.items()))
     near = [(-s, i) for s, i in near[:k] if s < 0]
     if not near:
         return None
