@@ -4,9 +4,11 @@ A text is cut into words (runs of letters and digits, A-Z in lower case) and run
 features are hashed single tokens, pairs, and runs of one to three token *shapes* (case, digits, length, the mark
 itself), each in one of ``2 ** BITS`` buckets, with the value ``sqrt(count / all)``, so that every text has length one.
 
-Training keeps all labelled rows. They are dealt into shards of about ``SHARD`` rows, and each shard runs the updates
-one row after the other from the common state; per round the shards' changes are averaged by bucket, over the shards
-that changed it. Only the state goes through the driver: two numbers for each of ``2 ** BITS`` buckets.
+Training takes the rows of up to ``examples`` labelled ids, the first by a hash of the id, so a table of labels of any size
+costs one scan of ids and no shuffle of texts. They are dealt into shards of about ``SHARD`` rows, and each shard runs the
+updates one row after the other from the common state; per round the shards' changes are averaged by bucket, over the
+shards that changed it. Besides the chosen ids only the state goes through the driver: two numbers for each of
+``2 ** BITS`` buckets.
 
 Null and empty texts have no features; their score is the bias, which starts at the labels' log-odds. Labels other than
 0 and 1 and null ids teach nothing. Rows of an id that is labelled both ways teach the share of ones. Repeated rows are
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, importable, map_steps, materialize, salted_join
+from .common import discard, importable, map_steps, materialize
 
 #: Buckets (as a power of two), labelled rows of a shard, rounds, and bytes of one text that are held at a time.
 BITS, SHARD, ROUNDS, STEP = 18, 2048, 4, 1 << 20
@@ -173,30 +175,30 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [b or b"" for b in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float]:
-    """``(weights, bias)`` from ``docs(doc_id, text)`` and the rows of ``labels(doc_id, <label>)`` that are 0 or 1."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: int = 8192) -> tuple[np.ndarray, float]:
+    """``(weights, bias)`` from ``docs(doc_id, text)`` and up to ``examples`` ids of ``labels(doc_id, <label>)`` with 0 or 1."""
     spark = docs.sparkSession
     importable(spark)
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
-    known = materialize(known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y")), "labels")
+    known = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
     def step(batch: pa.RecordBatch):
         found = [features(t) for t in _texts(batch)]
         yield {"y": batch.column("y"), "at": [f[0] for f in found], "x": [f[1] for f in found]}
 
-    # A hot id's rows are dealt over tasks by their place in the scan.
-    dealt = texts.withColumn("place", F.monotonically_increasing_id())
-    rows = map_steps(salted_join(dealt, known, "doc_id", "place").select("text", "y"), step, "y double, at array<int>, x array<float>")
+    given = texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, y double")), "doc_id")
+    rows = map_steps(given.select("text", "y"), step, "y double, at array<int>, x array<float>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "features")
     count, ones = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not count:
-        discard(known, rows)
+        discard(rows)
         return np.zeros(1 << BITS), 0.0
     bias = _log_odds((ones + 0.5) / (count + 1))
     shards = max(1, round(count / SHARD))
     found = train(rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))), bias), bias
-    discard(known, rows)
+    discard(rows)
     return found
 
 

@@ -90,9 +90,8 @@ def test_training_is_follow_the_regularised_leader(spark):
     table = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12)] + [(3, None), (None, 1), (5, 7)], "doc_id long, quality int")
     w, bias = quality.fit(table, labels)
-    order = [r["text"] for r in quality.materialize(quality.salted_join(table, labels.where("quality IN (0, 1)"), "doc_id", "doc_id"), "order").select("text").collect()]
     by_text = {t: int(i % 3 == 0) for i, t in texts}
-    assert bias == pytest.approx(np.log(4.5 / 8.5)) and len(order) == 12
+    assert bias == pytest.approx(np.log(4.5 / 8.5))
     scores = {r["doc_id"]: r["score"] for r in quality.score(table, (w, bias)).collect()}
     # Any order of the rows gives about the same model; the plain version takes ids in order.
     want = plain_ftrl([(t, by_text[t]) for _, t in texts], bias)
