@@ -83,14 +83,22 @@ def ball_assign(x: np.ndarray, entries: np.ndarray, code: np.ndarray) -> tuple[n
         rows, rings = rows[rings > 0], rings[rings > 0]  # the rest are in the core
         by = np.argsort(-rings, kind="stable")
         rows, rings = rows[by], rings[by]
-        for k, j in enumerate(near):
-            some = rows[: np.searchsorted(-rings, -k)]  # the rows of more than k rings
+        low = 0
+        while low < len(near):
+            # The neighbours of some further rings at a time, with the rows that reach the first of these.
+            high = min(max(2 * low, 1), len(near))
+            some = rows[: np.searchsorted(-rings, -low)]
             if not len(some):
                 break
-            d = ((x[some] - entries[j]) ** 2).sum(1)
-            measured += len(some)
-            wins = (d < best[some]) | ((d == best[some]) & (j < at[some]))
-            best[some[wins]], at[some[wins]] = d[wins], j
+            inside = rings[: len(some), None] > np.arange(low, high)
+            d = np.where(inside, distances(x[some], entries[near[low:high]]), np.iinfo(np.int64).max)
+            measured += int(inside.sum())
+            least = d.min(1)
+            # Of equal distances the lowest index.
+            j = np.where(d == least[:, None], near[low:high], len(entries)).min(1)
+            wins = (least < best[some]) | ((least == best[some]) & (j < at[some]))
+            best[some[wins]], at[some[wins]] = least[wins], j[wins]
+            low = high
     return at, best, measured
 
 
