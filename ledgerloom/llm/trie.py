@@ -223,10 +223,14 @@ def prefix_trie(conversations: DataFrame, family: int = 100, share: int = 6) ->
     sums = sums.select(_by_level(F.col("level"), _id_at).alias("id"), "n_leaves", "saved_tokens")
 
     # The root: all conversations, and the sums over all nodes.
-    totals = counted.agg(F.sum("leaf").alias("leaves"), F.sum("saved").alias("saved"), F.sum(F.when(F.col("parent") == F.lit(ROOT), 1)).alias("children"))
-    root = every.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0").crossJoin(totals).select(
-        F.lit(ROOT).alias("id"), F.lit(None).cast("string").alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", F.coalesce("children", F.lit(0)).cast("long").alias("n_children"),
-        F.coalesce("leaves", F.lit(1)).cast("long").alias("n_leaves"), F.coalesce("saved", F.lit(0)).cast("long").alias("saved_tokens"),
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    top = F.when(F.col("parent") == F.lit(ROOT), 1).otherwise(0).cast("long")
+    parts_of_root = every.select("conv_id", F.lit(1).cast("long").alias("n"), zero.alias("children"), zero.alias("leaves"), zero.alias("saved")).unionByName(
+        counted.select(none.alias("conv_id"), zero.alias("n"), top.alias("children"), F.col("leaf").cast("long").alias("leaves"), "saved")
+    )
+    root = parts_of_root.agg(F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in ("n", "children", "leaves", "saved")]).where("n > 0").select(
+        F.lit(ROOT).alias("id"), F.lit(None).cast("string").alias("parent"), "conv_id", zero.alias("depth"), F.col("n").alias("n_convs"), F.col("children").alias("n_children"),
+        F.greatest("leaves", F.lit(1)).cast("long").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
     )
     others = counted.select("id", "parent", "conv_id", (F.col("depth") + F.col("level")).cast("long").alias("depth"), "n_convs", "n_children")
     whole = materialize(others.hint("merge").join(sums.hint("merge"), "id").select(root.columns).unionByName(root), "whole")
