@@ -14,3 +14,8 @@ def staged(rows: DataFrame, **columns: Column) -> DataFrame:
     """
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
     return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it; for use within a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

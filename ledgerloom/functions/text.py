@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .staged import let
+
 #: White space as the OCR rules mean it: ASCII, no-break space and byte order mark.
 SPACE = "[\\s\\u00a0\\ufeff]"
 #: An ASCII word boundary; Java's own treats accented letters as word characters.
@@ -152,16 +154,18 @@ LOOK_ALIKE = ("OoQDIil|SsB", "00001111558")
 
 def numeric_like(text: Column) -> Column:
     """T4: look-alike letters become digits next to a digit, dot or comma; the left neighbour counts as replaced."""
-    plain = collapse(text)
 
-    def step(out: Column, i: Column) -> Column:
-        c = F.substring(plain, i, F.lit(1))
-        digit = F.translate(c, *LOOK_ALIKE)
-        near = F.substring(out, -1, 1).rlike("[0-9.,]") | F.substring(plain, i + 1, F.lit(1)).rlike("[0-9.,]")
-        return F.concat(out, F.when((digit != c) & near, digit).otherwise(c))
+    def replaced(plain: Column) -> Column:
+        def step(out: Column, i: Column) -> Column:
+            c = F.substring(plain, i, F.lit(1))
+            digit = F.translate(c, *LOOK_ALIKE)
+            near = F.substring(out, -1, 1).rlike("[0-9.,]") | F.substring(plain, i + 1, F.lit(1)).rlike("[0-9.,]")
+            return F.concat(out, F.when((digit != c) & near, digit).otherwise(c))
+
+        places = F.when(F.length(plain) > 0, F.sequence(F.lit(1), F.length(plain))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(""), step)
 
-    places = F.when(F.length(plain) > 0, F.sequence(F.lit(1), F.length(plain))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(""), step)
+    return let(collapse(text), replaced)
 
 
 def party_name(text: Column) -> Column:
@@ -181,4 +185,10 @@ TITLE_LINKS = "A AN FOR OF THE".split()
 def document_title(text: Column) -> Column:
     """Whether one to four words are all words of titles."""
     words = F.filter(F.split(F.regexp_replace(F.upper(alpha_heavy(collapse(text))), "[^A-Z ]+", " "), "\\s+"), lambda w: (w != "") & ~w.isin(TITLE_LINKS))
-    return (F.size(words) >= 1) & (F.size(words) <= 4) & F.forall(words, lambda w: w.isin(TITLE_WORDS))
+    return let(words, lambda w: F.size(w).between(1, 4) & F.forall(w, lambda x: x.isin(TITLE_WORDS)))
+
+
+def structured_noise(text: Column) -> Column:
+    """Whether a text is a piece of a structured document: a bracket at its start or alone, or a quoted key."""
+    plain = collapse(text)
+    return plain.rlike("^[\\[{]") | plain.rlike("^[\\]}]$") | plain.rlike('^"[^"]+"\\s*:') | plain.rlike("^[A-Za-z_][A-Za-z0-9_ -]*\\s*:\\s*[{\\[]")

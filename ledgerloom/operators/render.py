@@ -153,3 +153,55 @@ def read_voucher_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem", "part", "customer", "supplier")}
     return order_documents(t["orders"], t["lineitem"], t["part"], t["customer"], t["supplier"])
+
+
+#: What is wrong with the offers of :func:`rival_candidates`, by order key modulo 12.
+RIVALS = [
+    "none", "seller_number_invalid", "buyer_number_is_sellers", "seller_name_is_address", "seller_name_is_title", "buyer_name_is_sellers", "place_unknown", "taxable_halved", "both_taxes",
+    "discount", "total_is_taxable", "half_a_split",
+]
+
+
+def rival_candidates(orders: DataFrame, lineitem: DataFrame, customer: DataFrame, supplier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Field candidates of vouchers with known values, one rival of a kind (``RIVALS``) among those of each order.
+
+    ``(doc_id, field, value, num, score, line_text, rank)``, and ``(doc_id, line_sum)``, which is 0 for odd orders.
+    """
+    lines = order_lines(lineitem)
+    sums = totals(lines).hint("merge").join(lines.where("position = 1").select("l_orderkey", F.col("l_suppkey").alias("suppkey")).hint("merge"), "l_orderkey")
+    docs = sums.hint("merge").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").hint("merge"), "l_orderkey")
+    docs = docs.hint("merge").join(supplier.select(F.col("s_suppkey").alias("suppkey"), "s_nationkey").hint("merge"), "suppkey", "left")
+    docs = docs.hint("merge").join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").hint("merge"), "o_custkey", "left")
+    code = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(0)), F.lit(24)) + 1
+    names = F.create_map(*[F.lit(x) for c, n in STATES for x in (int(c), n)])
+    docs = docs.withColumn("seller_code", code("s_nationkey")).withColumn("buyer_code", code("c_nationkey"))
+    docs = docs.withColumn("seller_id", make_gstin(F.col("seller_code"), F.col("suppkey"))).withColumn("buyer_id", make_gstin(F.col("buyer_code"), F.col("o_custkey")))
+    docs = docs.withColumn("rival", F.element_at(F.array(*map(F.lit, RIVALS)), (F.col("l_orderkey") % len(RIVALS) + 1).cast("int")))
+    seller, buyer = F.concat(F.lit("Firm "), F.col("suppkey"), F.lit(" LLP")), F.concat(F.lit("Trader "), F.col("o_custkey"), F.lit(" Pvt Ltd"))
+    state = F.element_at(names, F.col("buyer_code").cast("int"))
+    last = F.substring("seller_id", 15, 1)
+    worn = F.concat(F.substring("seller_id", 1, 14), F.when(last == "A", "B").otherwise("A"))
+    is_ = lambda rival: F.col("rival") == rival
+    none = F.lit(None)
+
+    def offer(field: str, score: int, text: Column = none, amount: Column = none, line: Column = none) -> Column:
+        return F.struct(F.lit(field).alias("field"), text.cast("string").alias("value"), amount.cast("long").alias("num"), F.lit(score).alias("score"), line.cast("string").alias("line_text"))
+
+    apart, taxed = F.col("seller_code") != F.col("buyer_code"), F.col("tax") > 0
+    half = F.expr("(tax + 1) div 2")
+    both = is_("both_taxes")
+    each = F.array(
+        F.when(is_("seller_number_invalid"), offer("seller.gstin", 60, worn)), offer("seller.gstin", 58, F.col("seller_id")),
+        F.when(is_("buyer_number_is_sellers"), offer("buyer.gstin", 59, F.col("seller_id"))), offer("buyer.gstin", 46, F.col("buyer_id")),
+        F.when(is_("seller_name_is_address"), offer("seller.name", 47, F.concat(F.lit("Plot "), F.col("suppkey"), F.lit(", Gujarat")))), F.when(is_("seller_name_is_title"), offer("seller.name", 47, F.lit("TAX INVOICE"))),
+        offer("seller.name", 44, seller), F.when(is_("buyer_name_is_sellers"), offer("buyer.name", 45, seller)), offer("buyer.name", 44, buyer),
+        F.when(is_("place_unknown"), offer("document.place_of_supply", 50, F.lit("Elsewhere Abroad"))), F.when(is_("place_unknown") | (F.col("l_orderkey") % 3 == 1), offer("document.place_of_supply", 48, state)),
+        F.when(is_("taxable_halved"), offer("amounts.taxable_amount_cents", 72, amount=F.expr("subtotal div 2"))), offer("amounts.taxable_amount_cents", 70, amount=F.col("subtotal")),
+        F.when(F.col("l_orderkey") % 4 != 0, offer("amounts.subtotal_cents", 48, amount=F.col("total"))), F.when(is_("discount"), offer("amounts.discount_cents", 46, amount=F.lit(100000))),
+        F.when(taxed & (apart | both), offer("taxes.igst_cents", 68, amount=F.col("tax"))), F.when(taxed & (~apart | both), offer("taxes.cgst_cents", 60, amount=half)),
+        F.when(taxed & (~apart | both) & ~is_("half_a_split"), offer("taxes.sgst_cents", 60, amount=F.col("tax") - half)),
+        F.when(is_("total_is_taxable"), offer("amounts.grand_total_cents", 80, amount=F.col("subtotal"), line=F.lit("IGST 18%"))), offer("amounts.grand_total_cents", 76, amount=F.col("total"), line=F.lit("Grand Total")),
+    )
+    found = docs.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.posexplode(F.array_compact(each)).alias("_n", "_c"))
+    ranked = found.select("doc_id", "_c.*", F.row_number().over(Window.partitionBy("doc_id", "_c.field").orderBy("_n")).alias("rank"))
+    return ranked, docs.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.when(F.col("l_orderkey") % 2 == 0, F.col("subtotal")).otherwise(0).alias("line_sum"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions import dates
-from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, parties, ranking, render, schema, states, tables, verify, vouchers
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, parties, ranking, render, resolver, schema, states, tables, verify, vouchers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -214,7 +214,7 @@ def e05_rule_accuracy(spark, sf_dir):
 @query(f"""WITH {LINES} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, position AS item_index, p_name AS description, qty * 1000 AS quantity_thousandths, unit_cents AS unit_price_cents, qty * unit_cents AS line_amount_cents
 FROM lines JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 3 = 0""")
 def p10_strict_items(spark, sf_dir):
-    return items.strict_items(render.read_order_documents(spark, sf_dir)).drop("line_index", "hsn_sac")
+    return items.strict_items(render.read_order_documents(spark, sf_dir)).drop("line_index", "hsn_sac", "unit", "tax_rate")
 
 
 @query(f"""WITH {TOTALS} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN l_orderkey % 3 = 0 THEN subtotal END AS taxable_cents, CASE WHEN l_orderkey % 3 = 0 THEN total END AS subtotal_cents,
@@ -778,3 +778,131 @@ def m04_lengths(spark, sf_dir):
     bases = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = mutate.cases(bases, [m for m in mutate.MUTATIONS if m[1] == "header"])
     return found.select("doc_id", "mutation", F.length("text").alias("n_chars"))
+
+
+# Joint resolution: the offers of rival_candidates as options, and all selections of them.
+
+
+def _rivals(spark, sf_dir):
+    return render.rival_candidates(*[table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "supplier")])
+
+
+# An option has its field's number, its place, an amount or what identifies it, a state's code, a mark and points, as in the resolver.
+OFFERS = f"""{VOUCHERS}, facts AS (
+  SELECT doc_id, l_orderkey AS k, l_orderkey % 12 AS rival, suppkey, o_custkey AS custkey, CAST(seller_code AS BIGINT) AS sc, CAST(buyer_code AS BIGINT) AS bc, subtotal, tax, subtotal + tax AS total, seller_code <> buyer_code AS apart,
+         CASE WHEN l_orderkey % 2 = 0 THEN subtotal ELSE 0 END AS line_sum FROM vouchers
+), given AS (
+  SELECT doc_id, 0 AS f, 1 AS n, CAST(-1 AS BIGINT) AS num, CAST(sc AS INTEGER) AS state, 0 AS mark, 60 AS points FROM facts WHERE rival = 1
+  UNION ALL SELECT doc_id, 0, 2, sc * 1000000000 + suppkey, sc, 1, 58 FROM facts
+  UNION ALL SELECT doc_id, 1, 1, sc * 1000000000 + suppkey, sc, 1, 59 FROM facts WHERE rival = 2
+  UNION ALL SELECT doc_id, 1, 2, bc * 1000000000 + custkey, bc, 1, 46 FROM facts WHERE NOT (rival = 2 AND sc = bc AND suppkey = custkey)
+  UNION ALL SELECT doc_id, 2, 1, -2, NULL, 1, 47 FROM facts WHERE rival = 3
+  UNION ALL SELECT doc_id, 2, 1, -3, NULL, 2, 47 FROM facts WHERE rival = 4
+  UNION ALL SELECT doc_id, 2, 2, suppkey, NULL, 0, 44 FROM facts
+  UNION ALL SELECT doc_id, 3, 1, suppkey, NULL, 0, 45 FROM facts WHERE rival = 5
+  UNION ALL SELECT doc_id, 3, 2, -10 - custkey, NULL, 0, 44 FROM facts
+  UNION ALL SELECT doc_id, 4, 1, -1, NULL, 0, 50 FROM facts WHERE rival = 6
+  UNION ALL SELECT doc_id, 4, 2, bc, bc, 1, 48 FROM facts WHERE rival = 6 OR k % 3 = 1
+  UNION ALL SELECT doc_id, 5, 1, subtotal // 2, NULL, NULL, 72 FROM facts WHERE rival = 7
+  UNION ALL SELECT doc_id, 5, 2, subtotal, NULL, NULL, 70 FROM facts WHERE rival <> 7 OR subtotal <> subtotal // 2
+  UNION ALL SELECT doc_id, 6, 1, total, NULL, NULL, 48 FROM facts WHERE k % 4 <> 0
+  UNION ALL SELECT doc_id, 7, 1, 100000, NULL, NULL, 46 FROM facts WHERE rival = 9
+  UNION ALL SELECT doc_id, 9, 1, tax, NULL, NULL, 68 FROM facts WHERE tax > 0 AND (apart OR rival = 8)
+  UNION ALL SELECT doc_id, 10, 1, (tax + 1) // 2, NULL, NULL, 60 FROM facts WHERE tax > 0 AND (NOT apart OR rival = 8)
+  UNION ALL SELECT doc_id, 11, 1, tax - (tax + 1) // 2, NULL, NULL, 60 FROM facts WHERE tax > 0 AND (NOT apart OR rival = 8) AND rival <> 11
+  UNION ALL SELECT doc_id, 13, 1, subtotal, NULL, NULL, 80 - 36 FROM facts WHERE rival = 10
+  UNION ALL SELECT doc_id, 13, 2, total, NULL, NULL, 76 FROM facts WHERE rival <> 10 OR subtotal <> total
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, f ORDER BY n) - 1 AS pos FROM given
+), empties AS (
+  SELECT doc_id, f, CASE WHEN f IN (0, 1, 3, 5) THEN 0 WHEN f IN (2, 13) THEN -36 ELSE 4 END AS points, (SELECT count(*) FROM given g WHERE g.doc_id = facts.doc_id AND g.f = r.f) AS pos
+  FROM facts, range(14) r(f)
+), options AS (
+  SELECT doc_id, f, pos, num, state, mark, points FROM ranked
+  UNION ALL SELECT doc_id, f, pos, NULL, NULL, NULL, points FROM empties WHERE pos = 0 OR f NOT IN (2, 5, 6, 13)
+), evidence AS (
+  SELECT doc_id, facts.line_sum, coalesce(bool_or(f = 4), FALSE) AS e_place, coalesce(bool_or(f = 4 AND mark = 1), FALSE) AS e_known, count(*) FILTER (f = 2) > 1 OR count(*) FILTER (f = 3) > 1 AS e_other,
+         coalesce(bool_or(f IN (9, 10, 11)), FALSE) AS e_tax, coalesce(bool_or(f = 9 AND num > 0), FALSE) AS e_igst, coalesce(bool_or(f IN (9, 10, 11) AND num > 0), FALSE) AS e_positive,
+         coalesce(bool_or(f = 10 AND num > 0), FALSE) AND coalesce(bool_or(f = 11 AND num > 0), FALSE) AS e_split
+  FROM facts LEFT JOIN given USING (doc_id) GROUP BY doc_id, facts.line_sum
+)"""
+
+# Penalties of selections whose columns are n<field>, s<field> and m<field>, as a list of codes with their penalties.
+BROKEN = """list_filter([
+  CASE WHEN n0 IS NOT NULL AND m0 = 0 THEN {'code': 'seller_gstin_invalid', 'penalty': 36} END,
+  CASE WHEN n1 IS NOT NULL AND m1 = 0 THEN {'code': 'buyer_gstin_invalid', 'penalty': 36} END,
+  CASE WHEN n0 = n1 THEN {'code': 'seller_buyer_same_gstin', 'penalty': 120} END,
+  CASE WHEN n2 = n3 AND n0 IS DISTINCT FROM n1 THEN {'code': 'seller_buyer_same_name', 'penalty': CASE WHEN e_other THEN 48 ELSE 12 END} END,
+  CASE WHEN m2 & 1 > 0 THEN {'code': 'seller_name_looks_like_address', 'penalty': 120} END,
+  CASE WHEN m2 & 2 > 0 THEN {'code': 'seller_name_looks_like_document_title', 'penalty': 120} END,
+  CASE WHEN n0 IS NULL THEN {'code': 'seller_gstin_dropped', 'penalty': 48} END,
+  CASE WHEN n1 IS NULL AND n3 IS NULL THEN {'code': 'buyer_identity_dropped', 'penalty': 48} END,
+  CASE WHEN n1 IS NULL THEN {'code': 'buyer_gstin_dropped', 'penalty': 36} END,
+  CASE WHEN n4 IS NULL AND e_place THEN {'code': 'place_of_supply_dropped', 'penalty': 36} END,
+  CASE WHEN n4 IS NOT NULL AND m4 = 0 AND e_known THEN {'code': 'place_of_supply_unrecognized', 'penalty': 36} END,
+  CASE WHEN NOT (igst OR cgst OR sgst) AND e_positive THEN {'code': 'tax_block_dropped', 'penalty': 48} END,
+  CASE WHEN igst AND (cgst OR sgst) THEN {'code': 'igst_with_cgst_or_sgst', 'penalty': 120} END,
+  CASE WHEN cgst <> sgst THEN {'code': 'split_tax_incomplete', 'penalty': 120} END,
+  CASE WHEN inter AND (cgst OR sgst) THEN {'code': 'interstate_prefers_igst', 'penalty': 48} END,
+  CASE WHEN inter AND (cgst OR sgst) AND e_igst THEN {'code': 'interstate_ignored_igst_candidate', 'penalty': 48} END,
+  CASE WHEN inter AND (cgst OR sgst) AND NOT igst THEN {'code': 'interstate_missing_igst', 'penalty': 12} END,
+  CASE WHEN intra AND igst AND NOT (cgst OR sgst) THEN {'code': 'intrastate_prefers_split_tax', 'penalty': 36} END,
+  CASE WHEN intra AND igst AND NOT (cgst OR sgst) AND e_split THEN {'code': 'intrastate_ignored_split_tax_candidates', 'penalty': 36} END,
+  CASE WHEN n6 IS NOT NULL AND (e_tax OR abs(disc) > 200) AND d6 > 200 THEN {'code': 'subtotal_consistency', 'penalty': 36 + CAST(least(60, ceil((d6 - 200) / 100.0)) AS INTEGER)} END,
+  CASE WHEN (n6 IS NOT NULL OR e_tax OR abs(disc) > 200) AND d13 > 200 THEN {'code': 'grand_total_consistency', 'penalty': 36 + CAST(least(60, ceil((d13 - 200) / 100.0)) AS INTEGER)} END,
+  CASE WHEN line_sum > 0 AND n5 + 200 < line_sum THEN {'code': 'taxable_below_line_items', 'penalty': 120} END,
+  CASE WHEN line_sum > 0 AND n13 + 200 < line_sum THEN {'code': 'grand_total_below_line_items', 'penalty': 120} END
+], lambda v: v IS NOT NULL)"""
+
+
+def _judged(source: str) -> str:
+    """``source`` (a selection in each row) with its broken constraints."""
+    return f"""summed AS (
+  SELECT *, coalesce(n9, 0) > 0 AS igst, coalesce(n10, 0) > 0 AS cgst, coalesce(n11, 0) > 0 AS sgst, coalesce(n7, 0) AS disc, coalesce(n9, 0) + coalesce(n10, 0) + coalesce(n11, 0) AS taxes,
+         coalesce(s0 <> s1, FALSE) OR coalesce(s0 <> s4, FALSE) AS inter, coalesce(s0 = s1, FALSE) OR coalesce(s0 = s4, FALSE) AS some_equal
+  FROM {source} JOIN evidence USING (doc_id)
+), deltas AS (
+  SELECT * EXCLUDE (inter, some_equal), inter, NOT inter AND some_equal AS intra, least(abs(n6 - (n5 - disc)), abs(n6 - (n5 - disc + taxes))) AS d6,
+         least(abs(n13 - n6), abs(n13 - (n5 - disc + taxes)), abs(n13 - CASE WHEN n6 IS NOT NULL THEN greatest(n6, n5 - disc + taxes) END)) AS d13
+  FROM summed
+), judged AS (SELECT doc_id, points, {BROKEN} AS broken FROM deltas)"""
+
+
+_FIRST = ", ".join(f"max(num) FILTER (f = {i}) AS n{i}" for i in range(14)) + ", " + ", ".join(f"max({c}) FILTER (f = {i}) AS {a}{i}" for i in (0, 1, 2, 3, 4) for c, a in (("state", "s"), ("mark", "m")))
+#: Selections grow by a field at a time, as lists of options.
+_ALL = ", ".join(f"c{i} AS (SELECT c.doc_id, c.o || [p.x] AS o FROM {f'c{i - 1}' if i else 'start'} c JOIN picked p ON p.doc_id = c.doc_id AND p.x.f = {i})" for i in range(14))
+_SPREAD = ", ".join(f"o[{i + 1}].num AS n{i}" for i in range(14)) + ", " + ", ".join(f"o[{i + 1}].{c} AS {a}{i}" for i in (0, 1, 2, 3, 4) for c, a in (("state", "s"), ("mark", "m")))
+SELECTIONS = f"""WITH {OFFERS}, start AS (SELECT doc_id, CAST([] AS STRUCT(f BIGINT, num BIGINT, state INTEGER, mark INTEGER, points INTEGER)[]) AS o FROM facts),
+picked AS (SELECT doc_id, {{'f': CAST(f AS BIGINT), 'num': num, 'state': state, 'mark': mark, 'points': points}} AS x FROM options), {_ALL},
+chosen AS (SELECT doc_id, CAST(list_sum(list_transform(o, lambda x: x.points)) AS BIGINT) AS points, {_SPREAD} FROM c13), {_judged("chosen")},
+scored AS (SELECT doc_id, points - coalesce(list_sum(list_transform(broken, lambda v: v.penalty)), 0) AS total, len(list_filter(broken, lambda v: v.penalty >= 120)) AS n_high FROM judged)"""
+
+
+@query(f"""WITH {OFFERS}
+SELECT doc_id, ['seller.gstin', 'buyer.gstin', 'seller.name', 'buyer.name', 'document.place_of_supply', 'amounts.taxable_amount_cents', 'amounts.subtotal_cents', 'amounts.discount_cents', 'amounts.round_off_cents',
+  'taxes.igst_cents', 'taxes.cgst_cents', 'taxes.sgst_cents', 'taxes.cess_cents', 'amounts.grand_total_cents'][f + 1] AS field, CAST(pos AS INTEGER) AS pos, CAST(points AS DOUBLE) AS points, num IS NULL AS empty,
+  CASE WHEN f >= 5 THEN num END AS cents, state, mark FROM options""")
+def j01_options(spark, sf_dir):
+    """The options of each order's fields; a number's check and a name's look are marks."""
+    found = resolver.options(*_rivals(spark, sf_dir))
+    told = lambda i, f: F.transform(f"o{i}", lambda o: F.struct(F.lit(f).alias("field"), o.alias("o")))
+    each = F.flatten(F.array(*[told(i, f) for i, f in enumerate(resolver.FIELDS)]))
+    cents = F.when(F.col("_x.field").endswith("_cents"), F.col("_x.o.num"))
+    return found.select("doc_id", F.explode(each).alias("_x")).select("doc_id", "_x.field", "_x.o.pos", "_x.o.points", F.col("_x.o.num").isNull().alias("empty"), cents.alias("cents"), "_x.o.state", "_x.o.mark")
+
+
+@query(f"""WITH {OFFERS}, top1 AS (SELECT doc_id, 0 AS points, {_FIRST} FROM options WHERE pos = 0 GROUP BY doc_id), {_judged("top1")}
+SELECT doc_id, v.code, CAST(v.penalty AS INTEGER) AS penalty FROM (SELECT doc_id, unnest(broken) AS v FROM judged)""")
+def j02_violations(spark, sf_dir):
+    """The constraints that each order's first options break together."""
+    told = resolver.evidence(resolver.options(*_rivals(spark, sf_dir)))
+    return told.select("doc_id", F.explode(resolver.broken(resolver.first_options())).alias("_v")).select("doc_id", "_v.code", "_v.penalty")
+
+
+@query(f"""{SELECTIONS}
+SELECT doc_id, CAST(list_sort(list(total), 'DESC')[1] AS DOUBLE) AS best, CAST(list_sort(list(total), 'DESC')[2] AS DOUBLE) AS second, CAST(list_sort(list(total), 'DESC')[3] AS DOUBLE) AS third,
+       count(*) AS n_configs, FALSE AS truncated, bool_and(n_high > 0) AS all_invalid FROM scored GROUP BY doc_id""")
+def j03_selections(spark, sf_dir):
+    """The three best totals of each order's selections; no order has more than 128, so all are kept."""
+    found = resolver.resolved(*_rivals(spark, sf_dir))
+    total = lambda i: F.get("alternatives", F.lit(i))["score"]
+    return found.select("doc_id", total(0).alias("best"), total(1).alias("second"), total(2).alias("third"), "n_configs", "truncated", "all_invalid")
