@@ -895,7 +895,7 @@ SELECT doc_id, v.code, CAST(v.penalty AS INTEGER) AS penalty FROM (SELECT doc_id
 def j02_violations(spark, sf_dir):
     """The constraints that each order's first options break together."""
     told = resolver.evidence(resolver.options(*_rivals(spark, sf_dir)))
-    return told.select("doc_id", F.explode(resolver.broken(resolver.first_options())).alias("_v")).select("doc_id", "_v.code", "_v.penalty")
+    return resolver.judged(resolver.first_options(told)).select("doc_id", F.explode(resolver.broken()).alias("_v")).select("doc_id", "_v.code", "_v.penalty")
 
 
 @query(f"""{SELECTIONS}
