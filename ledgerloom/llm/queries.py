@@ -90,10 +90,10 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, clean).alias("domain"))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    weights, prior = mixing.fit(docs, domain_labels(labels), list(TARGETS))
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    weights, prior = mixing.fit(docs, domain_labels(labels), list(targets))
     members = materialize(mixing.posteriors(docs, weights, prior), "posteriors")
-    return mixing.rates(members, TARGETS)
+    return mixing.rates(members, targets)
 
 
 def op10_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,21 +163,41 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def meeting_texts(prints: DataFrame) -> DataFrame:
-    """``(a, b)``, a below b: for each node of ``prints(node, prints)`` and each block two nodes that it meets on a variant.
-
-    A variant's key holds the block and its least run as well. Of all nodes that a node meets in a block it gets the
-    first and the last, so rows grow with the nodes alone, and like nodes get the same few partners, through which they
-    are joined.
-    """
+    """``(variant, block, node, least, last)``: for each variant that several of ``prints(node, prints)`` emit, those nodes
+    with the first and the last of them. A variant's key holds the block and its least run as well."""
     near = lambda p, k: F.transform(ball(p.bits, WIDTH), lambda v: F.struct(k.alias("block"), F.xxhash64(v, p.least, k).alias("variant")))
     emitted = prints.select("node", F.explode(F.flatten(F.transform("prints", near))).alias("_x")).select("node", "_x.*")
     at = Window.partitionBy("variant")
-    met = emitted.select("node", "block", F.min("node").over(at).alias("least"), F.max("node").over(at).alias("last")).where("least < last")
+    return emitted.select("variant", "block", "node", F.min("node").over(at).alias("least"), F.max("node").over(at).alias("last")).where("least < last")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """``(a, b)``, a below b: each node of :func:`meeting_texts` with the first and the last that it meets in each block."""
     ends = met.groupBy("node", "block").agg(F.min("least").alias("least"), F.max("last").alias("last"))
     both = F.filter(F.array("least", "last"), lambda x: x != F.col("node"))
     return ends.select("node", F.explode(both).alias("_x")).select(F.least("node", "_x").alias("a"), F.greatest("node", "_x").alias("b")).distinct()
 
 
+def further_pairs(met: DataFrame, alike: DataFrame, groups: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
+    """Pairs not ``tried`` yet between texts that met but are in different ``groups(node, component)``.
+
+    In each variant's group that is not one component, all are paired with the text that has most links ``alike``, through
+    which a star's texts are joined, and with one by an order of the variant's and the turn's own. Rows grow with ``met``.
+    """
+    ends = alike.select(F.col("a").alias("node")).union(alike.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    told = groups.hint("merge").join(ends.hint("merge"), "node", "left")
+    rows = met.select("variant", "node").hint("merge").join(told.hint("merge"), "node", "left")
+    rows = rows.select("variant", "node", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    order = F.xxhash64("node", "variant", F.lit(turn))
+    one = F.struct("node", "component")
+    reps = rows.groupBy("variant").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(one, F.struct(-F.col("links"), order)).alias("hub"), F.min_by(one, order).alias("other"),
+    ).where("low < high").select("variant", F.array("hub", "other").alias("_reps"))
+    met_reps = salted_join(rows, reps, "variant", "node").select("node", "component", F.explode("_reps").alias("_r")).where(F.col("component") != F.col("_r.component"))
+    pairs = met_reps.select(F.least("node", "_r.node").alias("a"), F.greatest("node", "_r.node").alias("b")).distinct()
+    return pairs.hint("merge").join(tried.hint("merge"), ["a", "b"], "left_anti")
+
+
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group of linked texts the scan's first row stays.
 
@@ -185,9 +205,11 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int =
     more. Candidates agree in one of ``BLOCKS`` blocks: up to two of ``WIDTH`` bits of a SimHash of their words, found by
     ball hashing, and the least of their runs in the block's own order, which two texts share as often as they are
     similar and which keeps unlike texts of the same words apart. At 0.8 over 99 % of single pairs meet, more above. In
-    each block a text is compared with the first and the last of all that it meets there, so with up to 12 texts.
-    Each such pair is verified on its whole sets; what chains of similar pairs join is one group. A text that is like
-    others of a large group but unlike all that it is compared with keeps its row.
+    each block a text is first compared with the first and the last of all that it meets there. Groups of texts that met
+    but did not become one component go on in rounds, each text with the one of most links and with another of each
+    variant's group, until a round finds no link any more; so pairs grow with the texts in each round. Each pair is
+    verified on its whole sets; what chains of similar pairs join is one group. Only a pair that no round drew, among
+    many that met and are unlike each other, can stay apart.
 
     Texts of fewer than ``shingle`` words are one run. Equal texts are one group, empty and null ones together; a text
     of white space alone has no runs and is like its equals only. Null ids are rows like others, repeated rows are
@@ -207,12 +229,28 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int =
     rows = materialize(map_steps(given, prints, "row long, x long, y long, prints array<struct<bits:bigint,least:bigint>>"), "prints")
     nodes = materialize(rows.groupBy("x", "y").agg(F.min("row").alias("node"), F.min("prints").alias("prints")), "texts")
     met = materialize(meeting_texts(nodes.select("node", "prints")), "met")
-    wanted = met.select(F.col("a").alias("row")).union(met.select("b")).distinct()
+    tried = materialize(first_pairs(met), "pairs")
+    wanted = met.select(F.col("node").alias("row")).distinct()
     needed = given.select("row", "text").hint("merge").join(wanted.hint("merge"), "row").select(F.col("row").alias("node"), "text")
     sets = materialize(shingle_sets(needed, shingle), "sets")
-    alike = materialize(similar(met, sets, similarity), "similar")
-    groups = connected_components(alike)
-    discard(met, sets, alike)
+    alike = materialize(similar(tried, sets, similarity), "similar")
+    groups, turn = connected_components(alike), 0
+    while True:
+        turn += 1
+        more = materialize(further_pairs(met, alike, groups, tried, turn), "pairs")
+        if more.isEmpty():
+            discard(more)
+            break
+        new = materialize(similar(more, sets, similarity), "similar")
+        done = new.isEmpty()
+        held = tried, alike, groups, more, new
+        tried, alike = materialize(tried.union(more), "pairs"), materialize(alike.union(new), "similar")
+        groups = connected_components(alike)
+        discard(*held)
+        # A round of hubs follows the first round's links at least.
+        if done and turn > 1:
+            break
+    discard(met, sets, alike, tried)
     first = nodes.select("node", "x", "y").hint("merge").join(groups.withColumnRenamed("node", "_node").hint("merge"), F.col("node") == F.col("_node"), "left")
     firsts = first.select(F.struct("x", "y").alias("xy"), F.coalesce("component", "node").alias("first"))
     gone = salted_join(rows.select("row", F.struct("x", "y").alias("xy")), firsts, "xy", "row").where("row <> first")

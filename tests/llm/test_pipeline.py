@@ -1,7 +1,11 @@
 """The pipeline's stages over a small table: columns stay, decisions take effect."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm.common import materialize
+from ledgerloom.llm.queries import mixing_rates
 
 
 def test_stages(spark, sf):
@@ -22,6 +26,16 @@ def test_stages(spark, sf):
     assert all(r[1] <= 4096 for r in full) and sum(r[1] for r in full) > 0.8 * 4096 * len(full)
 
 
+def test_mixing_meets_its_targets(spark, sf):
+    """The expected tokens of each domain under the rates have the wanted shares."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.hint("merge").join(labels.where("toxic = 1").select("doc_id").hint("merge"), "doc_id", "left_anti")
+    rated = mixing_rates(clean, labels, corpus_pipeline.MIX)
+    total = rated.agg(F.sum("n_tokens")).first()[0]
+    reached = rated.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")) / total for d in corpus_pipeline.MIX]).first()
+    assert list(reached) == pytest.approx(list(corpus_pipeline.MIX.values()), rel=0.01)
+
+
 def test_stages_on_awkward_rows(spark, sf):
     """Nulls in any column, empty and long texts, repeated rows, an empty table, and columns that operators use."""
     text = " ".join(f"word{i % 97} other{i % 89}" for i in range(6000))
