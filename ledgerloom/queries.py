@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions import dates
-from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, parties, ranking, render, resolver, schema, states, tables, verify, vouchers
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, parties, ranking, records, render, resolver, schema, sections, states, tables, verify, vouchers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -906,3 +906,32 @@ def j03_selections(spark, sf_dir):
     found = resolver.resolved(*_rivals(spark, sf_dir))
     total = lambda i: F.get("alternatives", F.lit(i))["score"]
     return found.select("doc_id", total(0).alias("best"), total(1).alias("second"), total(2).alias("third"), "n_configs", "truncated", "all_invalid")
+
+
+# Whole extraction.
+
+
+@query(f"""WITH {VOUCHERS}
+SELECT doc_id, family, number, date, seller_name, buyer_name, CAST(subtotal AS BIGINT) AS taxable, CAST(CASE WHEN kind > 0 AND tax > 0 AND seller_code <> buyer_code THEN tax END AS BIGINT) AS igst,
+       CAST(CASE WHEN kind > 0 AND tax > 0 AND seller_code = buyer_code THEN (tax + 1) // 2 END AS BIGINT) AS cgst, CAST(CASE WHEN kind > 0 AND tax > 0 AND seller_code = buyer_code THEN tax - (tax + 1) // 2 END AS BIGINT) AS sgst,
+       CAST(subtotal + tax AS BIGINT) AS total, lpad(CAST(seller_code AS VARCHAR), 2, '0') AS seller_state, lpad(CAST(buyer_code AS VARCHAR), 2, '0') AS buyer_state, CAST(n_items AS INTEGER) AS n_items, subtotal AS items_cents
+FROM vouchers""")
+def j07_records(spark, sf_dir):
+    """Records of rendered vouchers hold the values they were rendered from."""
+    found = records.extract(render.read_voucher_documents(spark, sf_dir).select("doc_id", "text")).records
+    return found.select(
+        "doc_id", "family", "document.number", "document.date", F.col("seller.name").alias("seller_name"), F.col("buyer.name").alias("buyer_name"), F.col("amounts.taxable_amount_cents").alias("taxable"),
+        *[F.col(f"taxes.{t}_cents").alias(t) for t in ("igst", "cgst", "sgst")], F.col("amounts.grand_total_cents").alias("total"), F.substring("seller.gstin", 1, 2).alias("seller_state"),
+        F.substring("buyer.gstin", 1, 2).alias("buyer_state"), F.size("line_items").alias("n_items"), F.aggregate("line_items", F.lit(0).cast("long"), lambda a, x: a + x.line_amount_cents).alias("items_cents"),
+    )
+
+
+@query(f"""WITH {TOTALS} SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN l_orderkey % 3 = 0 THEN 'PI-' ELSE 'INV/' END || l_orderkey AS number, CASE WHEN l_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS date,
+  'Firm ' || suppkey || ' LLP' AS seller_name, 'Trader ' || o_custkey || ' Pvt Ltd' AS buyer_name, lpad(CAST(coalesce(s_nationkey, 0) + 1 AS VARCHAR), 2, '0') AS seller_state, lpad(CAST(coalesce(c_nationkey, 0) + 1 AS VARCHAR), 2, '0') AS buyer_state
+FROM totals JOIN orders ON o_orderkey = l_orderkey JOIN (SELECT l_orderkey, l_suppkey AS suppkey FROM lines WHERE position = 1) USING (l_orderkey)
+LEFT JOIN supplier ON s_suppkey = suppkey LEFT JOIN customer ON c_custkey = o_custkey WHERE l_orderkey % 3 < 2""")
+def l11_parties(spark, sf_dir):
+    """Heads of the layouts with sections: parties with their numbers, and the document's number and date."""
+    docs = render.read_order_documents(spark, sf_dir).where("layout <> 'retail'")
+    state = lambda c: F.substring(c, 1, 2)
+    return sections.receipt_heads(docs).select("doc_id", "number", "date", "seller_name", "buyer_name", state("seller_gstin").alias("seller_state"), state("buyer_gstin").alias("buyer_state"))
