@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions import dates
-from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, mutate, parties, ranking, records, render, resolver, schema, sections, states, tables, verify, vouchers
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, ledger, mutate, parties, ranking, records, render, replay, resolver, schema, sections, states, tables, verify, vouchers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -342,8 +342,31 @@ def v07_rules_and_status(spark, sf_dir):
 @query("SELECT c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS key FROM customer")
 def v08_party_match(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    ledger = customers.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("key"), F.concat(F.lit(" "), F.lower("c_name")).alias("ledger_name"))
-    return verify.party_match(customers.select(F.col("c_name").alias("name")), ledger)
+    entries = customers.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("key"), F.concat(F.lit(" "), F.lower("c_name")).alias("ledger_name"))
+    return verify.party_match(customers.select(F.col("c_name").alias("name")), entries)
+
+
+PARTIES = """forms AS (SELECT c_custkey AS key, c_custkey % 4 AS r, upper(c_name) AS name, 'ALIAS ' || c_custkey * 7919 AS alias, upper(c_mktsegment) || ' HOUSE ' || c_custkey * 104729 AS mailing FROM customer),
+entries AS (SELECT form, min((kind, key)) AS f FROM (SELECT key, 0 AS kind, name AS form FROM forms WHERE r > 0 UNION ALL SELECT key, 1, alias FROM forms WHERE r > 0 UNION ALL SELECT key, 2, mailing FROM forms WHERE r > 0) GROUP BY 1),
+names AS (SELECT key AS id, CASE key % 7 WHEN 0 THEN name WHEN 1 THEN alias WHEN 2 THEN mailing WHEN 3 THEN substr(name, 1, 3) || substr(name, 5) WHEN 4 THEN 'X' || substr(mailing, 2) || 'Z' WHEN 5 THEN replace(alias, 'A', 'QRS') END AS name FROM forms)"""
+
+
+@query(f"""WITH {PARTIES},
+d AS (SELECT id, name, form, f[1] AS kind, f[2] AS key, levenshtein(name, form) AS d FROM (SELECT * FROM names WHERE name IS NOT NULL) n JOIN entries ON abs(length(name) - length(form)) <= 2 AND levenshtein(name, form) <= 2),
+b AS (SELECT id, min((d, form, key, kind)) AS b FROM d GROUP BY 1)
+SELECT id, CASE WHEN b[1] = 0 THEN b[3] END AS key, CASE WHEN b[1] = 0 THEN ['ledger_name', 'alias', 'mailing_name'][b[4] + 1] END AS matched_by, b[2] AS closest, CAST(b[1] AS INTEGER) AS distance,
+  CASE WHEN name IS NULL THEN NULL WHEN b IS NULL THEN 'Party not found in ledgers' WHEN b[1] > 0 THEN 'No exact match; closest: ' || b[2] END AS warning FROM names LEFT JOIN b USING (id)""")
+def v08_closest_parties(spark, sf_dir):
+    """V8: worn names of customers against a ledger of three in four, with aliases and mailing names."""
+    key, name = F.col("c_custkey"), F.upper("c_name")
+    alias, mailing = F.concat(F.lit("Alias "), (key * 7919).cast("string")), F.concat(F.col("c_mktsegment"), F.lit(" House "), (key * 104729).cast("string"))
+    worn = (
+        F.when(key % 7 == 0, F.concat(F.lower(name), F.lit(" "))).when(key % 7 == 1, alias).when(key % 7 == 2, mailing).when(key % 7 == 3, F.concat(F.substring(name, 1, 3), F.substring(name, 5, 99)))
+        .when(key % 7 == 4, F.concat(F.lit("x"), F.substring(mailing, 2, 99), F.lit("z"))).when(key % 7 == 5, F.replace(F.upper(alias), F.lit("A"), F.lit("QRS")))
+    )
+    customers = table(spark, sf_dir, "customer")
+    entries = customers.where(key % 4 > 0).select(key.alias("key"), F.col("c_name").alias("ledger_name"), alias.alias("alias"), mailing.alias("mailing_name"))
+    return ledger.closest_parties(customers.select(key.alias("id"), worn.alias("name")), entries).drop("name")
 
 
 @query("SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS best FROM (SELECT o_custkey, o_orderkey, o_totalprice FROM orders) GROUP BY 1")
@@ -382,6 +405,19 @@ def d06_histories(spark, sf_dir):
     return found.select("entity_id", F.col("trace_index").cast("long").alias("trace_index"), "step", F.array_join("history", ",").alias("history"))
 
 
+@query(f"""WITH {TRACE}, e AS (SELECT t.*, CASE event_type WHEN 'view' THEN 'focus' WHEN 'error' THEN 'backtrack' WHEN 'signup' THEN 'note' ELSE 'place' END AS op, step * 7 % 9 + trace_index % 5 AS k FROM trace t),
+w AS (SELECT e.*, i, CASE WHEN k = i THEN CASE op WHEN 'place' THEN step WHEN 'backtrack' THEN 0 END END AS v, CASE WHEN op = 'focus' THEN trace_index END AS f FROM e, range(13) r(i)),
+s AS (SELECT entity_id, trace_index, i, coalesce(last_value(v IGNORE NULLS) OVER b, 0) AS v, last_value(f IGNORE NULLS) OVER b AS f FROM w WINDOW b AS (PARTITION BY entity_id, i ORDER BY trace_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT entity_id, trace_index, string_agg(v, ',' ORDER BY i) AS state, CAST(sum(CAST(v <> 0 AS INTEGER)) AS INTEGER) AS filled, max(f) AS focus FROM s GROUP BY 1, 2""")
+def d06_states(spark, sf_dir):
+    """The state before each event, with places, steps back and a focus."""
+    kind = F.when(F.col("event_type") == "view", "focus").when(F.col("event_type") == "error", "backtrack").when(F.col("event_type") == "signup", "note").otherwise("place")
+    traces = datasets.trace_events(table(spark, sf_dir, "events")).withColumn("trace_index", F.col("trace_index").cast("long"))
+    events = traces.select("entity_id", "trace_index", kind.alias("op"), (F.col("step") * 7 % 9 + F.col("trace_index") % 5).cast("int").alias("key"), F.col("step").alias("value"), F.struct(F.col("trace_index").alias("at")).alias("focus"))
+    found = replay.replayed(events, keys=13, block=16)
+    return found.select("entity_id", "trace_index", F.array_join("state", ",").alias("state"), "filled", F.col("focus_before.at").alias("focus"))
+
+
 @query(f"""WITH {TRACE}, t AS (SELECT *, trace_index % 4 AS depth, CASE WHEN step IN (1, 5) THEN step END AS o FROM trace),
 s AS (SELECT *, last_value(o IGNORE NULLS) OVER (PARTITION BY entity_id, depth ORDER BY trace_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS frame FROM t),
 b AS (SELECT *, max(CAST(frame IS NULL AS INTEGER)) OVER (PARTITION BY entity_id ORDER BY trace_index) AS bad FROM s WHERE step = 3)
