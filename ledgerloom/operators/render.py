@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numbers import format_number, make_gstin
+from ledgerloom.functions.numbers import format_number, in_words, make_gstin
 
 from .states import STATES
 
@@ -205,3 +205,30 @@ def rival_candidates(orders: DataFrame, lineitem: DataFrame, customer: DataFrame
     found = docs.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.posexplode(F.array_compact(each)).alias("_n", "_c"))
     ranked = found.select("doc_id", "_c.*", F.row_number().over(Window.partitionBy("doc_id", "_c.field").orderBy("_n")).alias("rank"))
     return ranked, docs.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.when(F.col("l_orderkey") % 2 == 0, F.col("subtotal")).otherwise(0).alias("line_sum"))
+
+
+def worn_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as invoices for the rules of V7; by order number modulo 13, twelve of thirteen have an error of their kind."""
+    m, first = F.col("l_orderkey") % 13, F.col("position") == 1
+    worn = lambda kind, by, at=F.lit(True): F.when((m == kind) & at, by).otherwise(0)
+    lines = order_lines(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).withColumn("_g", F.col("qty") * F.col("unit_cents"))
+    lines = lines.withColumn("_d", F.floor(F.col("_g") * F.round(F.col("l_discount") * 100).cast("long") / 100).cast("long")).withColumn("_bp", F.floor(F.round(F.col("l_tax") * 10000) / 2).cast("long"))
+    lines = lines.withColumn("_tax", F.floor((F.col("_g") - F.col("_d")) * F.col("_bp") / 10000).cast("long"))
+    values = {
+        "quantity_thousandths": F.col("qty") * 1000, "rate_cents": F.col("unit_cents"), "gross_cents": F.col("_g") + worn(2, 500, first), "discount_cents": F.col("_d"), "taxable_cents": F.col("_g") - F.col("_d") + worn(3, 1000, first),
+        "cgst_bp": F.col("_bp"), "sgst_bp": F.col("_bp") + worn(4, 450), "cgst_cents": F.col("_tax"), "sgst_cents": F.col("_tax"), "igst_cents": worn(5, 100),
+    }
+    item = F.struct("position", *[c.cast("long").alias(n) for n, c in values.items()])
+    # An order has few lines: they are one invoice.
+    whole = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("line_items"), F.sum(F.col("_g") - F.col("_d")).alias("_net"), F.sum("_tax").alias("_tax"))
+    total = F.col("_net") + 2 * F.col("_tax")
+    footer = {
+        "total_taxable_cents": F.col("_net") + worn(6, 5000), "total_cgst_cents": F.col("_tax") + worn(7, 500), "total_sgst_cents": F.col("_tax"), "total_igst_cents": F.lit(0), "total_cess_cents": F.lit(None),
+        "other_charges_cents": F.lit(None), "round_off_cents": worn(10, 150), "grand_total_cents": total + worn(8, 10000) + worn(10, 150),
+    }
+    gstin = lambda by: make_gstin(F.col("l_orderkey") % 30 + 1, F.col("l_orderkey") + by)
+    return whole.select(
+        "l_orderkey", F.when(m != 11, F.concat(F.lit("INV/"), F.col("l_orderkey").cast("string"))).alias("invoice_number"), F.when(m == 12, "soon").otherwise("01/02/2024").alias("invoice_date"), F.lit(None).cast("string").alias("original_invoice_date"),
+        F.when(m == 1, F.substring(gstin(0), 1, 14)).otherwise(gstin(0)).alias("seller_gstin"), gstin(1).alias("buyer_gstin"), F.concat(in_words(F.floor(total / 100) + worn(9, 7)), F.lit(" rupees only")).alias("grand_total_words"),
+        F.transform("line_items", lambda x: x.dropFields("position")).alias("line_items"), F.struct(*[c.cast("long").alias(n) for n, c in footer.items()]).alias("footer"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions import dates
-from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, ledger, mutate, parties, ranking, records, render, replay, resolver, schema, sections, states, tables, verify, vouchers
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, ledger, mutate, parties, ranking, records, render, replay, resolver, rules, schema, sections, states, tables, verify, vouchers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -339,6 +339,31 @@ def v07_rules_and_status(spark, sf_dir):
     return told.select("l_orderkey", status.alias("status"), score.alias("score"), F.array_join(F.transform("_failed", lambda x: x.rule), ",").alias("failed"))
 
 
+@query(f"""WITH {LINES}, x AS (SELECT l_orderkey AS k, l_orderkey % 13 AS m, position AS p, qty * unit_cents AS g, qty * unit_cents * CAST(round(l_discount * 100) AS BIGINT) // 100 AS d, CAST(round(l_tax * 10000) AS BIGINT) // 2 AS bp, qty, unit_cents FROM lines),
+y AS (SELECT *, g + CASE WHEN m = 2 AND p = 1 THEN 500 ELSE 0 END AS gross, g - d + CASE WHEN m = 3 AND p = 1 THEN 1000 ELSE 0 END AS taxable, (g - d) * bp // 10000 AS tax, CASE WHEN m = 4 THEN bp + 450 ELSE bp END AS sgst_bp, CASE WHEN m = 5 THEN 100 ELSE 0 END AS igst FROM x),
+f AS (SELECT k, any_value(m) AS m, sum(taxable) AS taxable, sum(tax) AS tax, sum(igst) AS igst, sum(g - d) + CASE WHEN any_value(m) = 6 THEN 5000 ELSE 0 END AS foot_taxable, sum(tax) + CASE WHEN any_value(m) = 7 THEN 500 ELSE 0 END AS foot_cgst,
+  sum(g - d) + 2 * sum(tax) + CASE any_value(m) WHEN 8 THEN 10000 WHEN 10 THEN 150 ELSE 0 END AS grand, (sum(g - d) + 2 * sum(tax)) // 100 * 100 + CASE WHEN any_value(m) = 9 THEN 700 ELSE 0 END AS worded, CASE WHEN any_value(m) = 10 THEN 150 ELSE 0 END AS off FROM y GROUP BY 1),
+r AS (SELECT k, 'gstin_checksum' AS rule, 'error' AS severity, 'seller_gstin' AS field FROM f WHERE m = 1
+UNION ALL SELECT k, 'line_arithmetic', 'error', 'line_items[' || (p - 1) || '].gross_cents' FROM y WHERE abs(qty * unit_cents - gross) > 100
+UNION ALL SELECT k, 'line_taxable_value', 'error', 'line_items[' || (p - 1) || '].taxable_cents' FROM y WHERE abs(gross - d - taxable) > 100
+UNION ALL SELECT k, 'cgst_equals_sgst', 'error', 'line_items[' || (p - 1) || ']' FROM y WHERE abs(bp - sgst_bp) > 1
+UNION ALL SELECT k, 'cgst_igst_exclusion', 'error', 'line_items[' || (p - 1) || ']' FROM y WHERE tax > 0 AND igst > 0
+UNION ALL SELECT k, 'footer_taxable_total', 'error', 'footer.total_taxable_cents' FROM f WHERE abs(taxable - foot_taxable) > 200
+UNION ALL SELECT k, 'footer_tax_totals', 'error', 'footer.total_cgst_cents' FROM f WHERE abs(tax - foot_cgst) > 200
+UNION ALL SELECT k, 'footer_tax_totals', 'error', 'footer.total_igst_cents' FROM f WHERE abs(igst) > 200
+UNION ALL SELECT k, 'grand_total_check', 'error', 'footer.grand_total_cents' FROM f WHERE abs(foot_taxable + foot_cgst + tax + off - grand) > 200
+UNION ALL SELECT k, 'words_vs_figures', 'warning', 'grand_total_words' FROM f WHERE abs(worded - grand) > 100
+UNION ALL SELECT k, 'round_off_check', 'warning', 'footer.round_off_cents' FROM f WHERE abs(off) > 100
+UNION ALL SELECT k, 'required_fields', 'error', 'invoice_number' FROM f WHERE m = 11
+UNION ALL SELECT k, 'date_format', 'error', 'invoice_date' FROM f WHERE m = 12)
+SELECT k AS l_orderkey, rule, severity, CAST(count(*) AS BIGINT) AS n, string_agg(field, ',' ORDER BY field) AS fields FROM r GROUP BY 1, 2, 3""")
+def v07_invoice_rules(spark, sf_dir):
+    """V7: the ten rules of invoices and the two of all documents, over orders with one planted error of twelve kinds."""
+    found = render.worn_invoices(spark, sf_dir)
+    failed = found.select("l_orderkey", F.explode(F.concat(rules.invoice_failures(), rules.common_failures())).alias("f")).select("l_orderkey", "f.*")
+    return failed.groupBy("l_orderkey", "rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields"))
+
+
 @query("SELECT c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS key FROM customer")
 def v08_party_match(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
