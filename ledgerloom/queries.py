@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers as num
 from ledgerloom.functions import text as txt
 from ledgerloom.functions import dates
-from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, ledger, mutate, parties, ranking, records, render, replay, resolver, rules, schema, sections, states, tables, verify, vouchers
+from ledgerloom.operators import candidates, datasets, evaluate, families, items, keyvalues, layout, ledger, mutate, parties, ranking, records, render, replay, report, resolver, rules, schema, sections, states, tables, verify, vouchers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -658,6 +658,22 @@ def v05_receipt_checks(spark, sf_dir):
     return verify.receipt_checks(docs.select("doc_id", worn.alias("text")))
 
 
+@query(f"""WITH {TOTALS}, d AS (SELECT l_orderkey AS k, CAST(n_lines AS INTEGER) AS n_lines, subtotal, tax, total, tax_bp FROM totals JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 3 = 0),
+w AS (SELECT *, k % 7 = 0 AS taxable_off, k % 5 = 0 AS no_number, k % 11 = 0 AS total_off FROM d)
+SELECT CAST(k AS VARCHAR) AS doc_id, NOT (taxable_off OR no_number OR total_off) AS ok, tax_bp / 10000 AS rate, n_lines + 8 AS n_checks,
+  concat_ws(',', CASE WHEN no_number THEN 'Invoice number' END, CASE WHEN taxable_off THEN 'Taxable amount' END, CASE WHEN total_off THEN 'Total amount' END) AS failed,
+  CAST(total AS BIGINT) AS total_cents, CASE WHEN taxable_off OR no_number OR total_off THEN 'FAIL' ELSE 'PASS' END || ' | receipt' || CASE WHEN no_number THEN '' ELSE ' | PI-' || k END AS title, CAST(2 * n_lines + 16 AS INTEGER) AS n_text_lines FROM w""")
+def v06_verification_reports(spark, sf_dir):
+    """V3, V5, V6: checks and reports of proformas; some have a wrong taxable amount or total, or no number."""
+    docs, number = render.read_order_documents(spark, sf_dir).where("layout = 'proforma'"), F.col("doc_id").cast("long")
+    worn = F.when(number % 7 == 0, F.regexp_replace("text", "TAXABLE  ", "TAXABLE  9")).otherwise(F.col("text"))
+    worn = F.when(number % 5 == 0, F.regexp_replace(worn, "PI No: PI-[0-9]+", "")).otherwise(worn)
+    worn = F.when(number % 11 == 0, F.regexp_replace(worn, "TOTAL  ", "TOTAL  9")).otherwise(worn)
+    found = report.verified(docs.select("doc_id", worn.alias("text"))).withColumn("_text", F.split(report.as_text(), "\\n"))
+    failed = F.array_join(F.transform(F.filter("checks", lambda c: ~c["pass"]), lambda c: c.label), ",")
+    return found.select("doc_id", "ok", "rate", F.size("checks").alias("n_checks"), failed.alias("failed"), "computed.total_cents", F.col("_text")[0].alias("title"), F.size("_text").alias("n_text_lines"))
+
+
 @query("""WITH f AS (SELECT doc_id, CASE WHEN n_chars < 500 THEN ['too short'] ELSE [] END || CASE WHEN lang <> 'en' THEN ['not English'] ELSE [] END AS h FROM documents)
 SELECT doc_id, CASE WHEN len(h) > 0 THEN 'Hints: ' || array_to_string(h, '; ') ELSE '' END AS hints FROM f""")
 def v12_hints(spark, sf_dir):
