@@ -164,11 +164,17 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def meeting_texts(prints: DataFrame) -> DataFrame:
     """``(variant, block, node, least, last)``: for each variant that several of ``prints(node, prints)`` emit, those nodes
-    with the first and the last of them. A variant's key holds the block and its least run as well."""
+    with the first and the last of them. A variant's key holds the block and its least run as well.
+
+    Variants of a block that the same nodes emit are one: equal prints share all of theirs, so that without this a group
+    of them would stand in the table once for each variant. Sets are told by count, ends and combined hashes of 64 bits.
+    """
     near = lambda p, k: F.transform(ball(p.bits, WIDTH), lambda v: F.struct(k.alias("block"), F.xxhash64(v, p.least, k).alias("variant")))
     emitted = prints.select("node", F.explode(F.flatten(F.transform("prints", near))).alias("_x")).select("node", "_x.*")
     at = Window.partitionBy("variant")
-    return emitted.select("variant", "block", "node", F.min("node").over(at).alias("least"), F.max("node").over(at).alias("last")).where("least < last")
+    ends = {"least": F.min("node").over(at), "last": F.max("node").over(at), "_n": F.count(F.lit(1)).over(at), "_all": F.bit_xor(F.xxhash64("node")).over(at)}
+    met = emitted.select("block", "node", *[c.alias(n) for n, c in ends.items()]).where("least < last")
+    return met.select(F.xxhash64("block", "_n", "_all", "least", "last").alias("variant"), "block", "node", "least", "last").distinct()
 
 
 def first_pairs(met: DataFrame) -> DataFrame:
