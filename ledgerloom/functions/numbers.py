@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .staged import let
+
 GSTIN = "[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]"
 BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -31,24 +33,22 @@ def last_money_to_cents(text: Column) -> Column:
 
 def gstins(text: Column) -> Column:
     """Distinct GSTINs in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![A-Za-z0-9_])({GSTIN})(?![A-Za-z0-9_])")))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=[0-9])(?<![A-Za-z0-9_])({GSTIN})(?![A-Za-z0-9_])")))
 
 
 def gstin_check_digit(head: Column) -> Column:
-    """Check character of the first 14 characters, factors 1 and 2 from the left."""
-    def step(total: Column, i: Column) -> Column:
-        value = F.instr(F.lit(BASE36), F.substring(head, i, F.lit(1))) - 1
-        addend = value * F.when(i % 2 == 0, 2).otherwise(1)
-        return total + F.floor(addend / 36).cast("int") + addend % 36
+    """Check character of the first 14 characters, factors 1 and 2 from the left.
 
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), step)
-    return F.substring(F.lit(BASE36), (36 - total % 36) % 36 + 1, F.lit(1))
+    ``head`` is computed once. A character's place in the string of its factor is what it adds, digits to base 36 summed.
+    """
+    doubled = "".join(c for _, c in sorted((2 * v // 36 + 2 * v % 36, c) for v, c in enumerate(BASE36)))
+    adds = lambda h: sum((F.instr(F.lit(BASE36 if i % 2 else doubled), F.substring(h, i, 1)) - 1 for i in range(2, 15)), F.instr(F.lit(BASE36), F.substring(h, 1, 1)) - 1)
+    return let(let(head, adds), lambda total: F.substring(F.lit(BASE36), (36 - total % 36) % 36 + 1, F.lit(1)))
 
 
 def gstin_valid(value: Column) -> Column:
     """Form and check digit hold."""
-    up = F.upper(F.trim(value))
-    return F.coalesce(up.rlike(f"^{GSTIN}$") & (F.substring(up, 15, 1) == gstin_check_digit(up)), F.lit(False))
+    return let(F.upper(F.trim(value)), lambda up: F.coalesce(up.rlike(f"^{GSTIN}$") & (F.substring(up, 15, 1) == gstin_check_digit(up)), F.lit(False)))
 
 
 def gstin_state(value: Column) -> Column:
@@ -60,7 +60,7 @@ def make_gstin(state: Column, key: Column) -> Column:
     """A GSTIN with a right check digit, letters and digits from ``key``."""
     letters = F.concat(*[F.char(65 + F.pmod(F.floor(key / F.lit(26**i)), F.lit(26))) for i in range(5)])
     head = F.concat(F.lpad(state.cast("string"), 2, "0"), letters, F.lpad(F.pmod(key, F.lit(10000)).cast("string"), 4, "0"), F.char(65 + F.pmod(key, F.lit(26))), F.lit("1Z"))
-    return F.concat(head, gstin_check_digit(head))
+    return let(head, lambda h: F.concat(h, gstin_check_digit(h)))
 
 
 def format_number(cents: Column) -> Column:
@@ -68,7 +68,10 @@ def format_number(cents: Column) -> Column:
     whole = F.expr("1").cast("long") * F.floor(cents / 100)
     text = whole.cast("string")
     head = F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - 3), "([0-9])(?=([0-9][0-9])+$)", "$1,")
-    grouped = F.when(F.length(text) > 3, F.concat(head, F.lit(","), F.substring(text, -3, 3))).otherwise(text)
+    # Most amounts have at most one comma before the last three digits and need no pattern.
+    end, two = F.concat(F.lit(","), F.substring(text, -3, 3)), F.concat(F.lit(","), F.substring(text, -5, 2))
+    short = F.length(text)
+    grouped = F.when(short <= 3, text).when(short <= 5, F.concat(F.substring(text, F.lit(1), short - 3), end)).when(short <= 7, F.concat(F.substring(text, F.lit(1), short - 5), two, end)).otherwise(F.concat(head, end))
     return F.concat(grouped, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
