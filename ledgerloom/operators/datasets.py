@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.staged import staged
 from ledgerloom.functions.text import fnv1a
 
 
@@ -137,7 +140,9 @@ def grids(orders: DataFrame) -> DataFrame:
         return F.when((i == 0) & (F.col("o_orderkey") % 10 == 0), good % 9 + 1).otherwise(good).cast("int")
 
     blank = lambda i: (i + F.col("o_orderkey")) % 3 == 0
-    return orders.select("o_orderkey", F.transform(cell, value).alias("answer"), F.transform(cell, lambda i: F.when(blank(i), 0).otherwise(value(i))).alias("question"))
+    # Grids are heavy for the few bytes of an order: a set number of partitions keeps them from a few tasks.
+    parts = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return orders.select("o_orderkey").repartition(parts, "o_orderkey").select("o_orderkey", F.transform(cell, value).alias("answer"), F.transform(cell, lambda i: F.when(blank(i), 0).otherwise(value(i))).alias("question"))
 
 
 def solved(answer: Column) -> Column:
@@ -152,14 +157,17 @@ def solved(answer: Column) -> Column:
 
 def legal_values(grid: DataFrame) -> DataFrame:
     """For each open cell of ``grid(o_orderkey, question)`` the digits that no cell of its row, column or box has."""
-    question = F.col("question")
-
-    def peers(i: Column) -> Column:
-        same = lambda j: (F.floor(j / 9) == F.floor(i / 9)) | (j % 9 == i % 9) | ((F.floor(j / 27) == F.floor(i / 27)) & (F.floor((j % 9) / 3) == F.floor((i % 9) / 3)))
-        return F.transform(F.filter(F.sequence(F.lit(0), F.lit(80)), same), lambda j: F.get(question, j))
-
-    cells = F.transform(question, lambda v, i: F.when(v == 0, F.struct(i.alias("cell"), F.array_except(F.array(*map(F.lit, range(1, 10))), peers(i)).alias("legal"))))
-    return grid.select("o_orderkey", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("o_orderkey", "c.cell", "c.legal")
+    units = [[j for j in range(81) if unit(j) == u] for unit in (lambda j: j // 9, lambda j: j % 9, lambda j: j // 27 * 3 + j % 9 // 3) for u in range(9)]
+    # The digits of each row, column and box are found once, as bits of a number; a cell reads the three of its own.
+    powers = F.array(*[F.lit(1 << d if d else 0) for d in range(10)])
+    bit = lambda j: F.coalesce(F.get(powers, F.get("question", F.lit(j))), F.lit(0))
+    bits = staged(grid.select("o_orderkey", "question"), _bits=F.array(*[bit(j) for j in range(81)]))
+    of = lambda cells: reduce(lambda x, y: x.bitwiseOR(y), (F.get("_bits", F.lit(j)) for j in cells))
+    used = staged(bits, _used=F.array(*[of(cells) for cells in units])).select("o_orderkey", "_used", F.posexplode("question").alias("cell", "_v")).where("_v = 0")
+    place = lambda e: F.get("_used", F.expr(e).cast("int"))
+    met = place("cell div 9").bitwiseOR(place("9 + cell % 9")).bitwiseOR(place("18 + cell div 27 * 3 + cell % 9 div 3"))
+    free = F.array_compact(F.array(*[F.when(F.col("_met").bitwiseAND(F.lit(1 << d)) == 0, F.lit(d)) for d in range(1, 10)]))
+    return used.select("o_orderkey", "cell", met.alias("_met")).select("o_orderkey", "cell", free.alias("legal"))
 
 
 def with_positive(rows: DataFrame, group: str, label: str) -> DataFrame:
