@@ -204,6 +204,23 @@ def further_pairs(met: DataFrame, alike: DataFrame, groups: DataFrame, tried: Da
     return pairs.hint("merge").join(tried.hint("merge"), ["a", "b"], "left_anti")
 
 
+def remaining_pairs(met: DataFrame, groups: DataFrame, tried: DataFrame, size: int = 1024, salts: int = 32) -> DataFrame:
+    """All pairs not ``tried`` yet between texts that met on a variant and are in different ``groups(node, component)``.
+
+    Only variants' groups that are not one component are paired; those above ``size`` texts are dealt over up to
+    ``salts`` tasks, and a merge join holds no more than one key's rows, which it spills.
+    """
+    told = met.select("variant", "node").hint("merge").join(groups.hint("merge"), "node", "left")
+    rows = told.select("variant", "node", F.coalesce("component", "node").alias("component"))
+    mixed = rows.groupBy("variant").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    shares = mixed.select("variant", F.least(F.ceil(F.col("n") / size), F.lit(salts)).cast("int").alias("_shares"))
+    rows = salted_join(rows, shares, "variant", "node")
+    one = rows.select("variant", F.pmod(F.xxhash64("node"), F.col("_shares")).cast("int").alias("_salt"), F.col("node").alias("a"), F.col("component").alias("_a"))
+    other = rows.select("variant", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_salt"), F.col("node").alias("b"), F.col("component").alias("_b"))
+    both = one.hint("merge").join(other.hint("merge"), ["variant", "_salt"]).where("a < b AND _a <> _b")
+    return both.select("a", "b").distinct().hint("merge").join(tried.hint("merge"), ["a", "b"], "left_anti")
+
+
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group of linked texts the scan's first row stays.
 
@@ -213,9 +230,10 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int =
     similar and which keeps unlike texts of the same words apart. At 0.8 over 99 % of single pairs meet, more above. In
     each block a text is first compared with the first and the last of all that it meets there. Groups of texts that met
     but did not become one component go on in rounds, each text with the one of most links and with another of each
-    variant's group, until a round finds no link any more; so pairs grow with the texts in each round. Each pair is
-    verified on its whole sets; what chains of similar pairs join is one group. Only a pair that no round drew, among
-    many that met and are unlike each other, can stay apart.
+    variant's group, until a round finds no link any more; so pairs grow with the texts in each round. Then all pairs
+    that met, are still in different groups and were not drawn are compared, so that every pair that met is settled; in
+    large groups of texts that are unlike each other these grow with the square. Each pair is verified on its whole
+    sets; what chains of similar pairs join is one group.
 
     Texts of fewer than ``shingle`` words are one run. Equal texts are one group, empty and null ones together; a text
     of white space alone has no runs and is like its equals only. Null ids are rows like others, repeated rows are
@@ -256,6 +274,14 @@ def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int =
         # A round of hubs follows the first round's links at least.
         if done and turn > 1:
             break
+    rest = materialize(remaining_pairs(met, groups, tried), "pairs")
+    if not rest.isEmpty():
+        new = materialize(similar(rest, sets, similarity), "similar")
+        held = alike, groups
+        alike = materialize(alike.union(new), "similar")
+        groups = connected_components(alike)
+        discard(*held, new)
+    discard(rest)
     discard(met, sets, alike, tried)
     first = nodes.select("node", "x", "y").hint("merge").join(groups.withColumnRenamed("node", "_node").hint("merge"), F.col("node") == F.col("_node"), "left")
     firsts = first.select(F.struct("x", "y").alias("xy"), F.coalesce("component", "node").alias("first"))

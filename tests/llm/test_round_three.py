@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import codes, quality, trie
+from ledgerloom.llm import codes, quality, simhash, trie
 from ledgerloom.llm.queries import QUERIES, SQL
 
 from ..test_queries import rows as plain_rows
@@ -239,3 +240,32 @@ def test_balls_measure_few_distances_and_win_as_a_full_search():
 def test_codes_of_no_vectors(spark):
     table = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
     assert values(codes.encode(table)) == [] and values(codes.encode(table.limit(0))) == []
+
+
+# Near copies
+
+
+def test_pairs_that_no_round_drew_are_compared(spark, monkeypatch):
+    """Texts unlike each other that all meet, and one pair of near copies among them."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(64)]
+    texts[41] = texts[23] + " end"
+    # All meet on one variant; its first and last texts, which are compared first, are others.
+    def met(prints):
+        ends = prints.agg(F.min("node").alias("least"), F.max("node").alias("last"))
+        return prints.select(F.lit(1).cast("long").alias("variant"), F.lit(0).alias("block"), "node").crossJoin(ends)
+
+    monkeypatch.setattr(simhash, "meeting_texts", met)
+    monkeypatch.setattr(simhash, "further_pairs", lambda met, alike, groups, tried, turn: tried.limit(0))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = {r[0] for r in simhash.without_near_copies(table).select("doc_id").collect()}
+    assert kept == set(range(64)) - {41}
+
+
+def test_remaining_pairs_of_dealt_groups(spark):
+    met = spark.createDataFrame([(v, n) for v in (1, 2) for n in range(30)] + [(3, 5), (3, 6)], "variant long, node long")
+    groups = spark.createDataFrame([(n, n % 3) for n in range(29)], "node long, component long")
+    tried = spark.createDataFrame([(0, 1), (5, 6)], "a long, b long")
+    of = lambda n: n % 3 if n < 29 else n
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if of(a) != of(b)} - {(0, 1), (5, 6)}
+    got = [tuple(r) for r in simhash.remaining_pairs(met, groups, tried, size=4).collect()]
+    assert sorted(got) == sorted(want)
