@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,38 +77,39 @@ class BlockMax:
 
     @staticmethod
     def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All numbers of the ranges, and which range each is of."""
+        """All numbers of the ranges, and the size of each range."""
         sizes = end - begin
-        which = np.repeat(np.arange(len(sizes)), sizes)
-        return np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[which], which
+        return np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes), sizes
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and similarities of the k most similar examples above zero, but not of id ``but``; ties go to the smaller id."""
         rows = self.row[terms]
         common, rows = weights[rows >= 0], rows[rows >= 0]
-        entries, which = self._spread(self.of[terms], self.of[terms + 1])
-        heavy = weights[which]
-        bounds = np.bincount(self.at[entries], heavy * self.most[entries], self.blocks) + _times(common, self.dense_most[rows])
+        entries, sizes = self._spread(self.of[terms], self.of[terms + 1])
+        heavy, at = np.repeat(weights, sizes), self.at[entries]
+        bounds = np.bincount(at, heavy * self.most[entries], self.blocks) + _times(common, self.dense_most[rows])
         order = np.argsort(-bounds, kind="stable")
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(self.blocks)
-        by = np.argsort(rank[self.at[entries]], kind="stable")
-        entries, heavy = entries[by], heavy[by]
-        ends = np.searchsorted(rank[self.at[entries]], np.arange(self.blocks + 1))
         sims, places, kth, held, done, step = [], [], 0.0, 0, 0, 8
         while done < self.blocks:
             # Rounding stays within the margin.
             if bounds[order[done]] <= 0 or (held >= k and bounds[order[done]] < kth - 1e-9):
                 break
             to = min(done + step, self.blocks)
-            some = entries[ends[done] : ends[to]]
-            posts, whose = self._spread(self.begin[some], self.begin[some + 1])
-            slot = rank[self.place[posts] // self.block] * self.block + self.place[posts] % self.block - done * self.block
-            s = np.bincount(slot, heavy[ends[done] : ends[to]][whose] * self.weight[posts], (to - done) * self.block)
+            # Later steps take no block whose bound is too low.
+            while held >= k and bounds[order[to - 1]] < kth - 1e-9:
+                to -= 1
+            taken = np.zeros(self.blocks, bool)
+            taken[order[done:to]] = True
+            own = taken[at]
+            some = entries[own]
+            posts, sizes = self._spread(self.begin[some], self.begin[some + 1])
+            s = np.bincount(self.place[posts], np.repeat(heavy[own], sizes) * self.weight[posts], self.blocks * self.block)
             columns = (order[done:to, None] * self.block + np.arange(self.block)).ravel()
-            s = s + _times(common, self.dense[rows[:, None], columns])
+            s = s[columns]
+            if len(rows):
+                s = s + np.einsum("i,ijk->jk", common, self.dense.reshape(len(self.dense), self.blocks, self.block)[rows[:, None], order[done:to]]).ravel()
             hit = np.flatnonzero(s > 0 if held < k else s >= kth - 1e-9)
-            where = order[done + hit // self.block] * self.block + hit % self.block
+            where = columns[hit]
             if but is not None:
                 other = self.ids[where] != but
                 hit, where = hit[other], where[other]
@@ -136,21 +138,28 @@ class Model:
         self.curve = (0.0, 1.0)
 
     @staticmethod
-    def unit(counts: dict[int, int], weights: np.ndarray, rest: float = 0.0) -> dict[int, float]:
-        """Weights of terms over the vector's length; ``rest`` is the square length of terms of no example."""
+    def unit(counts: dict[int, int], weights: np.ndarray) -> dict[int, float]:
+        """Weights of an example's terms over the vector's length."""
         raw = {t: (1 + math.log(n)) * float(weights[t]) for t, n in sorted(counts.items())}
-        norm = math.sqrt(rest + sum(w * w for w in raw.values()))
+        norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items() if w} if norm else {}
 
     def odds(self, text: str | None, but: int | None = None) -> tuple[float | None, list[tuple[int, float, int]]]:
         """Log odds of the votes (none without a neighbour), and the evidence as (example's id, similarity, label)."""
         words = Counter(terms_of(text))
-        counts = {self.vocabulary[w]: n for w, n in words.items() if w in self.vocabulary}
-        rest = sum(((1 + math.log(n)) * self.rarest) ** 2 for w, n in words.items() if w not in self.vocabulary)
-        vector = self.unit(counts, self.weights, rest)
-        if not vector:
+        terms = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+        heavy = 1 + np.log(np.fromiter(words.values(), np.float64, len(words)))
+        known = terms >= 0
+        rest = float(np.square(heavy[~known] * self.rarest).sum())
+        terms, heavy = terms[known], heavy[known]
+        by = np.argsort(terms)
+        terms = terms[by]
+        heavy = heavy[by] * self.weights[terms]
+        norm = math.sqrt(rest + float(np.square(heavy).sum()))
+        terms, heavy = terms[heavy != 0], heavy[heavy != 0]
+        if not len(terms):
             return None, []
-        places, sims = self.index.nearest(np.fromiter(vector, np.int64), np.fromiter(vector.values(), np.float64), self.k, but)
+        places, sims = self.index.nearest(terms, heavy / norm, self.k, but)
         if not len(places):
             return None, []
         labels = self.index.labels[places]
@@ -222,10 +231,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 1024, k: int = 25, l
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batch: pa.RecordBatch):
-        seen, n = Counter(), batch.num_rows
+        # The last place is for terms of no example.
+        seen, get = np.zeros(len(shared.value) + 1, np.int64), shared.value.get
         for text in batch.column("text").to_pylist():
-            seen.update(filter(None.__ne__, map(shared.value.get, set(terms_of(text)))))
-        yield {"term": [-1, *seen], "n": [n, *seen.values()]}
+            own = set(terms_of(text))
+            seen[np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))] += 1
+        found = np.flatnonzero(seen[:-1])
+        yield {"term": [-1, *found.tolist()], "n": [batch.num_rows, *seen[found].tolist()]}
 
     # One number for each term of an example comes back.
     found = dict(map(tuple, map_steps(texts.select("text"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect()))

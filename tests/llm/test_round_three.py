@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import codes, quality, simhash, trie
+from ledgerloom.llm import codes, quality, simhash, toxicity, trie
 from ledgerloom.llm.queries import QUERIES, SQL
 
 from ..test_queries import rows as plain_rows
@@ -269,3 +269,28 @@ def test_remaining_pairs_of_dealt_groups(spark):
     want = {(a, b) for a in range(30) for b in range(a + 1, 30) if of(a) != of(b)} - {(0, 1), (5, 6)}
     got = [tuple(r) for r in simhash.remaining_pairs(met, groups, tried, size=4).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_toxicity_looks_a_word_up_once():
+    looked = []
+
+    class Words(dict):
+        def get(self, key, default=None):
+            looked.append(key)
+            return super().get(key, default)
+
+        def __contains__(self, key):
+            looked.append(key)
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    vectors = [{0: 1.0}, {1: 0.6, 2: 0.8}]
+    model = toxicity.Model(Words({b"bad": 0, b"fine": 1, b"day": 2}), np.ones(3), 2.0, toxicity.BlockMax(vectors, [1, 0], [7, 8], 3), 0.5, 25, 2.0)
+    score, evidence = model.score("A fine fine day, a FINE day.")
+    assert sorted(looked) == [b"a", b"day", b"fine"]
+    # Of the text's terms "a" is in no example and counts in the length alone.
+    fine, day, a = 1 + np.log(3), 1 + np.log(2), 2 * (1 + np.log(2))
+    assert evidence == [(8, round((0.6 * fine + 0.8 * day) / np.sqrt(fine**2 + day**2 + a**2), 9), 0)] and score < 0.5
