@@ -75,3 +75,19 @@ def test_words(spark):
 def test_first_letters():
     assert txt.first_letters("total|net (?:amount|sum)") == "(?=[NTnt])"
     assert txt.first_letters("s?ub|tax") == "" and txt.first_letters(".*hsn|sac") == ""
+
+
+def test_words_are_counted_without_being_built(spark):
+    lines = spark.createDataFrame([(" \tab  c d\x0b e ",), ("",), ("  ",), ("x",)], "line string")
+    got = lines.select(layout.word_count(F.col("line")).alias("n"), F.size(layout.words_of(F.col("line"))).alias("m")).collect()
+    assert [r.n for r in got] == [r.m for r in got] == [4, 0, 0, 1]
+    plan = QUERIES["l01_lines_and_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+
+
+def test_amounts_are_ordered_in_their_document(spark):
+    text = "Total 12.50 3.00\n\nRs. 12.50 x1.00\n99999999999999999999.00"
+    found = candidates.money_candidates(spark.createDataFrame([("1", text), ("2", "a 1.00")], "doc_id string, text string"))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in found.orderBy("doc_id", "candidate_index").select("doc_id", "candidate_index", "line_index", "token_index", "amount_cents", "amount_rank").collect()]
+    assert got == [("1", 0, 0, 0, 1250, 1), ("1", 1, 0, 1, 300, 3), ("1", 2, 2, 0, 1250, 2), ("1", 3, 3, 0, None, 4), ("2", 0, 0, 0, 100, 1)]
