@@ -17,9 +17,10 @@ log10 probabilities of a text's bytes and its end, so it is the probability of t
 
 The tree is a distributed table of any size, and no model is broadcast or collected. A first pass cuts the input into
 chunks of about ``CHUNK_BYTES`` of text, stores each chunk's texts beside its distinct byte runs and words, and counts
-those of the training texts. Runs that agree in the ``HEAD`` bytes before the last form one subtree; subtrees are
+those of the training texts; a counted run or word keeps the list of its chunks. Runs that agree in the ``HEAD`` bytes before the last form one subtree; subtrees are
 dealt over tasks, which read them in slices and work on arrays. The levels above are aggregates over the subtrees'
-roots. Each chunk then meets the entries that it uses. Words serve the unigram base and are matched by 63-bit hashes.
+roots. Each chunk then meets the values of its runs, and the counts of those words that other chunks hold in training
+too; the rest it counts itself. Words serve the unigram base and are matched by 63-bit hashes.
 
 Null and empty texts are scored as an end alone. Rows whose id is null are scored as well; where ``trains`` is null a
 row is held out. Ties do not occur, for every row has its own result; repeated rows count each. A very long text is a
@@ -33,15 +34,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, importable, materialize, salted_join, steps
+from .common import discard, importable, materialize, steps
 
 #: Bytes of context; of these, the bytes that deal subtrees over tasks.
 DEPTH, HEAD = 5, 3
 #: Text bytes of a chunk, and byte runs of a slice of subtrees.
 CHUNK_BYTES, SLICE = 16 << 20, 400_000
+#: Text bytes that are cut into runs at a time, and those that are scored; some numbers are held for each.
+READ_BYTES, SCORED_BYTES = 1 << 20, 512 << 10
 START, END = b"\xfe", b"\xff"
 _SIGN = 1 << 63
 _SMALL = 1 << 16
@@ -81,6 +85,21 @@ def word_key(word: bytes) -> int:
     return (xxh64_intdigest(word) | _SIGN) - (1 << 64)
 
 
+def packed(table: pa.RecordBatch) -> bytes:
+    """Ids, training marks and texts of some rows, compressed: they are stored and dealt once each."""
+    sink = pa.BufferOutputStream()
+    table = table.select(["doc_id", "trains", "text"])
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(texts: pa.Table):
+    """The rows of :func:`packed`, in batches."""
+    for one in texts.column("texts"):
+        yield from pa.ipc.open_stream(one.as_buffer())
+
+
 class Chunk:
     """Texts of one chunk, and what they hold: byte runs and words with their counts in training."""
 
@@ -101,29 +120,33 @@ class Chunk:
                     self.words.update(words_of(r))
                 else:
                     self.words.update(dict.fromkeys(words_of(r), 0))
-        self.texts.append(table)
+        self.texts.append((packed(table), sum(trains)))
         self.size += sum(map(len, raws))
 
     def batches(self):
-        for table in self.texts:
-            n = len(table)
-            yield self._batch(n, doc_id=table.column("doc_id"), trains=table.column("trains"), text=table.column("text"))
-        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)
+        for texts, n in self.texts:
+            yield self._batch(1, texts=pa.array([texts], pa.binary()), n=pa.array([n]))
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts = [], []
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        del order
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+        keys, counts = keys[begin], np.add.reduceat(counts, begin) if len(keys) else counts
         words = np.fromiter(map(word_key, self.words), np.int64, len(self.words))
         keys, counts = np.concatenate([keys, words]), np.concatenate([counts, np.fromiter(self.words.values(), np.int64, len(words))])
         for a in range(0, len(keys), 100_000):
             yield self._batch(len(keys[a : a + 100_000]), key=pa.array(keys[a : a + 100_000]), n=pa.array(counts[a : a + 100_000]))
 
     def _batch(self, size: int, **columns: pa.Array) -> pa.RecordBatch:
-        kinds = {"chunk": pa.int64(), "key": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "trains": pa.bool_(), "text": pa.string()}
+        kinds = {"chunk": pa.int64(), "key": pa.int64(), "n": pa.int64(), "texts": pa.binary()}
         columns["chunk"] = pa.array(np.full(size, self.number, np.int64))
         return pa.RecordBatch.from_arrays([columns[c].cast(k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
 
 
 def gather(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
-    """``(chunk, key, n, doc_id, trains, text)``: a row for each text, with a null key, and one for each byte run (key 0
-    or more) and word (key below 0) of a chunk, with its count in training."""
+    """``(chunk, key, n, texts)``: rows with a null key hold some :func:`packed` texts and how many of them train; one for
+    each byte run (key 0 or more) and word (key below 0) of a chunk has its count in training."""
     given = docs.select(
         F.spark_partition_id().cast("long").alias("part"), F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"),
@@ -131,7 +154,7 @@ def gather(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
 
     def run(batches):
         chunk = None
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", READ_BYTES):
             if chunk is None:
                 chunk = Chunk(batch.column("part")[0].as_py() << 32, depth)
             chunk.add(batch)
@@ -141,7 +164,7 @@ def gather(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
         if chunk is not None and chunk.texts:
             yield from chunk.batches()
 
-    return given.mapInArrow(run, "chunk long, key long, n long, doc_id long, trains boolean, text string")
+    return given.mapInArrow(run, "chunk long, key long, n long, texts binary")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -277,10 +300,13 @@ def upper(roots: DataFrame, head: int) -> DataFrame:
 
 
 def costs(grams: DataFrame, depth: int, head: int) -> DataFrame:
-    """``(key, value)``: the log10 probability of each of ``grams(key, n)``: its last byte after the others."""
+    """The log10 probability of each of ``grams(key, n, chunks)``: its last byte after the others.
+
+    ``(chunk, gaps, values)``: some runs of a chunk as :func:`turn` gives them, each less the one before, and their values.
+    """
     n_runs = grams.count()
     low = (1 << (8 * head)) - 1
-    mine = grams.select(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(low)).alias("head"), F.lit(1).alias("kind"), "key", "n", F.lit(None).cast("double").alias("sum"), F.lit(None).cast("double").alias("rest"))
+    mine = grams.select(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(low)).alias("head"), F.lit(1).alias("kind"), "key", "n", F.lit(None).cast("double").alias("sum"), F.lit(None).cast("double").alias("rest"), "chunks")
 
     def tops(batches):
         for table in _slices(batches):
@@ -292,7 +318,7 @@ def costs(grams: DataFrame, depth: int, head: int) -> DataFrame:
     roots = materialize(_dealt(mine, n_runs).select("head", "key", "n").mapInArrow(tops, "node long, a long, b long, pw double"), "roots")
     above = upper(roots, head)
     discard(roots)
-    heads = above.select(F.shiftrightunsigned("node", 8).alias("head"), F.lit(0).alias("kind"), F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "sum", "rest")
+    heads = above.select(F.shiftrightunsigned("node", 8).alias("head"), F.lit(0).alias("kind"), F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "sum", "rest", F.lit(None).cast("array<long>").alias("chunks"))
 
     def whole(batches):
         for table in _slices(batches):
@@ -306,9 +332,32 @@ def costs(grams: DataFrame, depth: int, head: int) -> DataFrame:
             place = np.searchsorted(keys[tops], at)
             p = sums[place] + rests[place] * ones
             bits = (keys[own][:, None] >> np.arange(7, -1, -1)) & 1
-            yield pa.RecordBatch.from_pydict({"key": keys[own], "value": np.log10(np.where(bits == 1, p, 1 - p)).sum(1)})
+            value = np.log10(np.where(bits == 1, p, 1 - p)).sum(1)
+            turned = turn(keys[own], depth, head)
+            by = np.argsort(turned)
+            lists = table.column("chunks").take(pa.array(own[by])).combine_chunks()
+            of, to = np.repeat(by, pc.list_value_length(lists).to_numpy()), pc.list_flatten(lists).to_numpy()
+            order = np.argsort(to, kind="stable")
+            of, to = of[order], to[order]
+            begin = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+            gaps = np.diff(turned[of], prepend=0)
+            gaps[begin] = turned[of[begin]]
+            ends = pa.array(np.append(begin, len(to)).astype(np.int32))
+            lists = {"gaps": pa.ListArray.from_arrays(ends, pa.array(gaps)), "values": pa.ListArray.from_arrays(ends, pa.array(value[of]))}
+            yield from pa.table({"chunk": to[begin], **lists}).to_batches(64)
+
+    return _dealt(mine.unionByName(heads), n_runs).mapInArrow(whole, "chunk long, gaps array<long>, values array<double>")
+
 
-    return _dealt(mine.unionByName(heads), n_runs).mapInArrow(whole, "key long, value double")
+def turn(keys: np.ndarray, depth: int, head: int) -> np.ndarray:
+    """Byte runs with the bytes of their head moved to the front, so that those of one subtree are near each other."""
+    low, far = (1 << (8 * head)) - 1, 8 * (depth - head)
+    return ((keys >> 8 & low) << (far + 8)) | (keys >> (8 * head + 8) << 8) | (keys & 255)
+
+
+def turn_back(turned: np.ndarray, depth: int, head: int) -> np.ndarray:
+    far = 8 * (depth - head)
+    return ((turned >> 8 & ((1 << far) - 1)) << (8 * head + 8)) | (turned >> (far + 8) << 8) | (turned & 255)
 
 
 def score(docs: DataFrame, trains: Column, depth: int = DEPTH, head: int = HEAD) -> DataFrame:
@@ -320,49 +369,66 @@ def score(docs: DataFrame, trains: Column, depth: int = DEPTH, head: int = HEAD)
         raise ValueError("depth is at most 6, and head at most depth")
     importable(docs.sparkSession)
     seen = materialize(gather(docs, trains, depth), "seen")
-    runs_of, words_in = seen.where("key >= 0").select("chunk", "key", "n"), seen.where("key < 0").select("chunk", "key", "n")
-    grams = materialize(runs_of.groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    values = costs(grams, depth, head)
-    words = materialize(words_in.groupBy("key").agg(F.sum("n").alias("n")), "words")
-    of_runs = runs_of.select("chunk", "key").hint("merge").join(values.hint("merge"), "key")
-    of_words = salted_join(words_in.select("chunk", "key"), words.select("key", F.col("n").cast("double").alias("value")), "key", "chunk")
-    entries = of_runs.select("chunk", "key", "value").unionByName(of_words.select("chunk", "key", "value"))
+    # A key occurs once in a chunk, so its list is as long as there are chunks at most. Dealt once, it needs no join to go back.
+    grams = materialize(seen.where("key >= 0").select("chunk", "key", "n").repartition("key").groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")), "grams")
+    of_words = seen.where("key < 0").select("chunk", "key", "n").repartition("key").groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "n")).alias("parts"))
+    words = materialize(of_words, "words")
+    texts = materialize(seen.where("key IS NULL").select(F.col("chunk").alias("part"), "n", "texts"), "texts")
+    discard(seen)
+    of_runs = costs(grams, depth, head).select("chunk", "gaps", "values", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"))
+    # A word that trains in one chunk alone is counted right there.
+    apart = words.select("key", F.col("n").cast("double").alias("value"), F.explode(F.filter("parts", lambda p: p.n != F.col("n"))).alias("p"))
+    # Empty lists, not null ones: Arrow's writer goes over all nulls before each null list of a batch.
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    entries = of_runs.unionByName(apart.select("p.chunk", none("long").alias("gaps"), none("double").alias("values"), "key", "value"))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    texts = seen.where("key IS NULL").select(F.col("chunk").alias("part"), "doc_id", "trains", "text")
-    n_train = texts.agg(F.count(F.when(F.col("trains"), 1))).first()[0]
+    n_train = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, kinds = sums["n"] + n_train, sums["v"] + (n_train > 0)
     floor = math.log10(total + kinds + 1)
     schema = "doc_id long, trains boolean, n_tokens long, n_known long, train_tokens long, n_bytes long, base_score double, score double"
 
     def chunk_scores(texts: pa.Table, model: pa.Table) -> pa.Table:
-        keys, values = model.column("key").to_numpy(), model.column("value").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        runs_from = int(np.searchsorted(keys, 0))
-        run_keys, run_values = keys[runs_from:], values[runs_from:]
-        counts = dict(zip(keys[:runs_from].tolist(), values[:runs_from].tolist()))
-        memo: dict[bytes, tuple[int, float]] = {}
+        of_words = model.filter(pc.is_valid(model.column("key")))
+        counts = dict(zip(of_words.column("key").to_pylist(), of_words.column("value").to_pylist()))
+        of_runs = model.filter(pc.is_null(model.column("key")))
+        found = [np.zeros(0, np.int64), *(turn_back(np.cumsum(x.values.to_numpy()), depth, head) for x in of_runs.column("gaps"))]
+        run_keys, run_values = np.concatenate(found), pc.list_flatten(of_runs.column("values")).to_numpy()
+        order = np.argsort(run_keys)
+        run_keys, run_values = run_keys[order], run_values[order]
+        del found
+        # One count for each word: its own in this chunk, or what was sent for it.
+        held = Counter()
+        for batch in unpacked(texts):
+            for text in batch.filter(batch.column("trains")).column("text"):
+                held.update(words_of(raw_of(text.as_py())))
+        for w, own in held.items():
+            held[w] = counts.get(word_key(w), own)
+        logs: dict[int, float] = {}
         out = {name.split()[0]: [] for name in schema.split(", ")}
-        for batch in steps(iter(texts.select(["doc_id", "text", "trains"]).to_batches()), "text"):
-            raws = [raw_of(t) for t in batch.column("text").to_pylist()]
-            along = np.concatenate([[0.0], np.cumsum(run_values[np.searchsorted(run_keys, runs(raws, depth))])])
-            ends = np.cumsum([0, *(len(r) + 1 for r in raws)])
-            out["score"] += (along[ends[1:]] - along[ends[:-1]]).tolist()
-            for raw in raws:
-                known, base, words = int(n_train > 0), math.log10(n_train + 1) - floor, words_of(raw)
-                for w in words:
-                    found = memo.get(w)
-                    if found is None:
-                        c = counts[word_key(w)]
-                        found = memo[w] = (c > 0, math.log10(c + 1) - floor)
-                    known += found[0]
-                    base += found[1]
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(known)
-                out["base_score"].append(base)
-                out["n_bytes"].append(len(raw))
-            out["doc_id"] += batch.column("doc_id").to_pylist()
-            out["trains"] += batch.column("trains").to_pylist()
+        for batch in unpacked(texts):
+            for part in steps(iter([batch]), "text", SCORED_BYTES):
+                raws = [raw_of(t) for t in part.column("text").to_pylist()]
+                along = np.concatenate([[0.0], np.cumsum(run_values[np.searchsorted(run_keys, runs(raws, depth))])])
+                ends = np.cumsum([0, *(len(r) + 1 for r in raws)])
+                out["score"] += (along[ends[1:]] - along[ends[:-1]]).tolist()
+                del along
+                for raw in raws:
+                    known, base, words = int(n_train > 0), math.log10(n_train + 1) - floor, words_of(raw)
+                    for w in words:
+                        c = held.get(w)
+                        if c is None:
+                            c = held[w] = int(counts.get(word_key(w), 0))
+                        log = logs.get(c)
+                        if log is None:
+                            log = logs[c] = math.log10(c + 1) - floor
+                        known += c > 0
+                        base += log
+                    out["n_tokens"].append(len(words) + 1)
+                    out["n_known"].append(known)
+                    out["base_score"].append(base)
+                    out["n_bytes"].append(len(raw))
+                out["doc_id"] += part.column("doc_id").to_pylist()
+                out["trains"] += part.column("trains").to_pylist()
         out["train_tokens"] = [total] * len(out["doc_id"])
         fields = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
         return pa.table({f.split()[0]: pa.array(out[f.split()[0]], fields[f.split()[1]]) for f in schema.split(", ")})
