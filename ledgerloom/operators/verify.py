@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .items import strict_items, summary_amounts
+from .items import strict_amounts, summary, tax_sum
+from .stepped import per_document, read
 
 
 def computation_trace(lines: DataFrame) -> DataFrame:
@@ -87,13 +91,30 @@ def compared(actual: DataFrame, expected: DataFrame, keys: list[str], value: str
     return a.hint("merge").join(e.hint("merge"), keys, "full").withColumn("outcome", told).drop("_a", "_e")
 
 
+def _both(*flags: bool | None) -> bool | None:
+    """AND as SQL has it."""
+    return False if any(f is False for f in flags) else None if any(f is None for f in flags) else True
+
+
+def _receipt(raw: bytes | None, tolerance: int) -> Iterator[tuple]:
+    lines, shapes = read(raw)
+    rows = strict_amounts(lines, shapes)
+    if rows:
+        last, taxes = summary(lines, shapes)
+        fits = [abs(math.floor(q * p / 1000.0 + 0.5) - a) <= tolerance for q, p, a in rows if None not in (q, p, a)]
+        sums = [a for _, _, a in rows if a is not None]
+        near = lambda a, b: None if a is None or b is None else abs(a - b) <= tolerance
+        total, taxed = (sum(sums), sum(sums) + (tax_sum(taxes) or 0)) if sums else (None, None)
+        checks = all(fits) if fits else None, near(last.get("taxable"), total), near(taxed, last.get("total"))
+        yield (*checks, _both(*checks))
+
+
 def receipt_checks(docs: DataFrame, tolerance: int = 100) -> DataFrame:
-    """V5: for documents with strict items, whether lines, the taxable amount and the total agree, in cents."""
-    lines = strict_items(docs).withColumn("_ok", F.abs(F.floor(F.col("quantity_thousandths") * F.col("unit_price_cents") / 1000.0 + 0.5) - F.col("line_amount_cents")) <= tolerance)
-    sums = lines.groupBy("doc_id").agg(F.bool_and("_ok").alias("lines_agree"), F.sum("line_amount_cents").alias("_sum"))
-    told = sums.hint("merge").join(summary_amounts(docs).hint("merge"), "doc_id").withColumn("taxable_agrees", F.abs(F.col("taxable_cents") - F.col("_sum")) <= tolerance)
-    told = told.withColumn("total_agrees", F.abs(F.col("_sum") + F.coalesce("tax_cents", F.lit(0)) - F.col("total_cents")) <= tolerance)
-    return told.select("doc_id", "lines_agree", "taxable_agrees", "total_agrees", (F.col("lines_agree") & F.col("taxable_agrees") & F.col("total_agrees")).alias("verified"))
+    """V5: for documents with strict items, whether lines, the taxable amount and the total agree, in cents.
+
+    A document is checked in its own row; ``doc_id`` is the key.
+    """
+    return per_document(docs, lambda raw: _receipt(raw, tolerance), "lines_agree boolean, taxable_agrees boolean, total_agrees boolean, verified boolean")
 
 
 def hints(failed: Column) -> Column:
